@@ -42,7 +42,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 42, text:
         .agg(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "h").alias("order"), "record")).alias("rows"))
     )
     dealt = held.select("bucket", F.shuffle(F.array_sort("rows"), F.lit(seed)).alias("rows"))
-    rows = dealt.join(starts, "bucket").select("start", F.posexplode("rows").alias("pos", "row"))
+    # A few bytes a bucket: up to this many they are sent to every executor, beyond that both sides meet by bucket.
+    rows = dealt.join(F.broadcast(starts) if buckets <= 200_000 else starts, "bucket").select("start", F.posexplode("rows").alias("pos", "row"))
     place = "(start + pos)"
     shard = f"({place} * {shards} div {max(n, 1)})"
     first = f"(({shard} * {n} + {shards - 1}) div {shards})"
