@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm.common import cut, pulled, ship, slices, utf8
 
@@ -175,12 +176,12 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", key: str = "do
 
     rows = docs.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(also)], F.col(text).cast("string").alias("__text"))
     names = [*rows.columns[:-1], "chars", "nll"]
-    kinds = [f.dataType.simpleString() for f in rows.schema.fields[:-1]]
-    out = rows.mapInArrow(score, ", ".join(f"{n} {t}" for n, t in zip(names, [*kinds, "long", "double"])))
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("chars", T.LongType()), T.StructField("nll", T.DoubleType())])
+    out = rows.mapInArrow(score, kinds)
     return out.toDF(key, *also, "chars", "nll")
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", tail: float = 0.01, spread: float = 2.0, least: int = 100) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", tail: float = 0.01, spread: float = 2.0, least: int = 100, record: str | None = None) -> DataFrame:
     """One row per row: key, lang, chars, perplexity, low, high, kept.
 
     Trusted are documents of label quality 1 that are not toxic. Bounds of a
@@ -191,12 +192,13 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     of all. A figure equal to a bound keeps. Null and empty texts have no
     perplexity and go. With no trusted document at all nothing else is rejected.
     Repeated rows give repeated rows; repeated or contradictory labels count as
-    untrusted if any is; other columns are not read.
+    untrusted if any is; other columns are not read, but for the column `record`,
+    which is handed on if given.
     """
     good = labels.groupBy(F.col(key).alias("__id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))).alias("ok")).where("ok and __id is not null").select("__id")
-    narrow = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__t"))
+    narrow = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__t"), *([F.col(record).alias("__rec")] if record else []))
     model = fit(narrow.join(good, F.col("__key") == F.col("__id"), "left_semi"), "__t")
-    scored = cut(perplexity(narrow, model, "__t", "__key", ("__lang",)), "perplexity")
+    scored = cut(perplexity(narrow, model, "__t", "__key", ("__lang", "__rec") if record else ("__lang",)), "perplexity")
     known = scored.join(good, F.col("__key") == F.col("__id"), "left_semi").where("nll is not null and chars >= 200")
     at = F.percentile_approx("nll", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)), 10000).alias("q")
     each = known.where("__lang is not null").groupBy("__lang").agg(at, F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).drop("c")
@@ -208,5 +210,5 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     high = F.col("q")[1] + wide * (F.col("q")[2] - F.col("q")[1])
     kept = F.col("nll").isNotNull() & F.coalesce((F.col("nll") >= low) & (F.col("nll") <= high), F.lit(True))
     return bound.select(
-        F.col("__key").alias(key), F.col("__lang").alias(lang), "chars", F.exp("nll").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), kept.alias("kept")
+        F.col("__key").alias(key), F.col("__lang").alias(lang), "chars", F.exp("nll").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), kept.alias("kept"), *([F.col("__rec").alias(record)] if record else [])
     )
