@@ -15,7 +15,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -82,6 +82,19 @@ def fold(col: str, modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))
 
 
+def smallest_hashes(rows: DataFrame, group: str, key: str, most: int, seed: int, salts: int = 256) -> DataFrame:
+    """group, key of the `most` rows of each group with the smallest hashes of their key; ties go by key.
+
+    First within salted parts of a group, then among their winners: no task reads
+    more than salts x most rows of a group in the end.
+    """
+    hashed = rows.select(group, key, F.xxhash64(F.lit(seed), F.col(key)).alias("__hash")).withColumn("__part", F.pmod("__hash", F.lit(salts)))
+    for by in ((group, "__part"), (group,)):
+        order = Window.partitionBy(*by).orderBy("__hash", key)
+        hashed = hashed.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+    return hashed.select(group, key)
+
+
 # --- batches -----------------------------------------------------------------
 
 

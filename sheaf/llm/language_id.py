@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheaf.llm.common import _LOWER, mix, pulled, ship, slices, utf8
+from sheaf.llm.common import _LOWER, pulled, ship, slices, smallest_hashes, utf8
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -104,13 +105,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """
     ship(docs.sparkSession)
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
-    order = Window.partitionBy("__lang").orderBy("__hash", "__key")
-    picked = (
-        named.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.xxhash64(F.lit(seed), F.col(key)).alias("__hash"))
-        .withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") <= per_language)
-        .select("__lang", "__key")
-    )
+    picked = smallest_hashes(named.select(F.col(lang).alias("__lang"), F.col(key).alias("__key")), "__lang", "__key", per_language, seed)
     sample = named.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(picked), ["__lang", "__key"], "left_semi")
 
     def sparse(batches):
@@ -194,5 +189,5 @@ def identify(docs: DataFrame, model: Coded, text: str = "text", key: str = "doc_
                 )
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"`{key}` {kind}, lang_pred string, score double, ambiguous boolean")
+    out = T.StructType([T.StructField(key, rows.schema["__key"].dataType), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
+    return rows.mapInArrow(predict, out)

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import _IS_SPACE, mix, pulled, ship, signed, slices, utf8, word_hashes, words
+from sheaf.llm.common import _IS_SPACE, mix, pulled, ship, slices, smallest_hashes, utf8, word_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
 _KINDS = np.zeros((256, 6), dtype=bool)
@@ -202,8 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Fit on `per_class` documents at most of each quality, and `lines` lines at most of each. Null labels, keys and texts teach nothing."""
     ship(docs.sparkSession)
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__y"))
-    order = Window.partitionBy("__y").orderBy(F.xxhash64(F.lit(11), "__key"), "__key")
-    picked = marks.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_class).select("__key", "__y")
+    picked = smallest_hashes(marks, "__y", "__key", per_class, 11).select("__key", "__y")
     sample = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).join(F.broadcast(picked), "__key")
 
     def lined(batches):
