@@ -66,10 +66,12 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     n, size = len(off) - 1, len(raw)
     starts, ends, row = words(raw, off)
     breaks = np.flatnonzero(raw == 10)
-    # A line begins where a text begins and behind each line feed.
-    at = np.sort(np.concatenate([off[:-1], breaks + 1])) if size else off[:-1]
-    where = np.concatenate([np.arange(n), np.searchsorted(off, breaks, "right") - 1])
-    where = where[np.argsort(np.concatenate([off[:-1], breaks + 1]), kind="stable")] if size else np.arange(n)
+    # A line begins where a text begins and behind each line feed, unless the text ends there.
+    behind = np.searchsorted(off, breaks, "right") - 1
+    inner = breaks + 1 < off[behind + 1]
+    at = np.concatenate([off[:-1], breaks[inner] + 1])
+    order = np.argsort(at, kind="stable")
+    at, where = at[order], np.concatenate([np.arange(n), behind[inner]])[order]
     to = np.concatenate([at[1:], [size]]) if len(at) else at
     ending = np.zeros(size + 1, dtype=bool)
     ending[breaks + 1] = True
