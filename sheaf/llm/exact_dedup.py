@@ -77,11 +77,15 @@ def _columns(found: DataFrame, key: str) -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 16) -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    Keys name rows: of rows that repeat a winning key one stays. Rows without a
-    key never win against one that has a key.
+    A row is named by its key and its text; of rows that repeat both, one stays.
+    Rows without a key never win against one that has a key, and count as one.
     """
-    won = cut(exact_groups(docs, text, key, salts).where("kept").groupBy(F.col(key).alias(f"{P}key")).count(), "winners")
-    same = F.col(key).eqNullSafe(F.col(f"{P}key"))
-    once, often = won.where("count = 1"), won.where("count > 1")
-    stay = docs.join(once, same, "left_semi")
-    return stay if often.isEmpty() else stay.unionByName(docs.join(often, same, "left_semi").dropDuplicates([key]))
+    won = exact_groups(docs, text, key, salts).where("kept").groupBy(F.col(key).alias(f"{P}key"), F.col("text_sha256").alias(f"{P}digest")).agg(F.count(F.lit(1)).alias(f"{P}n"))
+    won = cut(won, "winners")
+    named = docs.withColumn(f"{P}own", digest(normalised(F.col(text))))
+    same = F.col(key).eqNullSafe(F.col(f"{P}key")) & (F.col(f"{P}own") == F.col(f"{P}digest"))
+    once, often = won.where(f"{P}n = 1"), won.where(f"{P}n > 1")
+    stay = named.join(once, same, "left_semi")
+    if not often.isEmpty():
+        stay = stay.unionByName(named.join(often, same, "left_semi").dropDuplicates([key, f"{P}own"]))
+    return stay.drop(f"{P}own")
