@@ -80,7 +80,7 @@ def serial_to_timestamp(serial: Column, date1904: bool = False) -> Column:
     day = F.when(late, whole(x)).otherwise(whole(julian) - F.lit(int(offset)))
     part = F.when(late, x - whole(x)).otherwise(julian - whole(julian))
     micros = F.expr("0L") + F.floor(whole(part * F.lit(86400e9)) / F.lit(1000)).cast("long")
-    return F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(days=day.cast("int"), secs=(micros.cast("decimal(20,6)") / F.lit(1000000)).cast("decimal(18,6)"))
+    return F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(days=day.try_cast("int"), secs=(micros.cast("decimal(20,6)") / F.lit(1000000)).cast("decimal(18,6)"))
 
 
 _PATTERN = {

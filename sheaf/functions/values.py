@@ -150,9 +150,9 @@ def fraction_of(x: float, numerator_digits: int, denominator_digits: int) -> tup
 
 def whole_and_fraction(x: float, numerator_digits: int, denominator_digits: int) -> tuple[int, int, int]:
     part, whole = math.modf(x)
-    if part == 0:
-        return int(whole), 0, 1
-    return int(whole), *fraction_of(abs(part), numerator_digits, denominator_digits)
+    if part == 0 or math.isnan(x):
+        return truncated(whole), 0, 1
+    return truncated(whole), *fraction_of(abs(part), numerator_digits, denominator_digits)
 
 
 NOT_NUMERIC = "MUST BE numeric TO FORMAT CORRECTLY"
@@ -246,12 +246,15 @@ def _field(t: datetime, name: str) -> str:
 
 
 def time_text(v, layout: str, date1904: bool = False) -> str:
-    """A time, or a serial number, in a layout."""
+    """A time, or a serial number, in a layout. Serials beyond the calendar stay numbers."""
     if not isinstance(v, datetime):
         x = number(v)
         if x is None:
             return NOT_TIME
-        v = serial_to_datetime(x, date1904)
+        try:
+            v = serial_to_datetime(x, date1904)
+        except (OverflowError, ValueError):
+            return general(v)
     return "".join(_field(v, name) if name else text for name, text in layout_tokens(layout))
 
 
