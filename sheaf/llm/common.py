@@ -73,8 +73,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Up to this many narrow rows (some tens of MB) are broadcast to a join, on the strength of a count.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(narrow: DataFrame) -> DataFrame:
+    """The table marked for broadcast if its count allows; beyond that a join shuffles both sides."""
+    return F.broadcast(narrow) if narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else narrow
 
 
 def fold(col: str, modulus: int):

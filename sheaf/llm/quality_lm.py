@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import cut, pulled, ship, slices, utf8
+from sheaf.llm.common import cut, if_small, pulled, ship, slices, utf8
 
 ORDER, BITS = 4, 6
 SIZE = 1 << (ORDER * BITS)
@@ -196,12 +196,14 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     which is handed on if given.
     """
     good = labels.groupBy(F.col(key).alias("__id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))).alias("ok")).where("ok and __id is not null").select("__id")
+    good = if_small(cut(good, "trusted"))
     narrow = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(text).alias("__t"), *([F.col(record).alias("__rec")] if record else []))
     model = fit(narrow.join(good, F.col("__key") == F.col("__id"), "left_semi"), "__t")
     scored = cut(perplexity(narrow, model, "__t", "__key", ("__lang", "__rec") if record else ("__lang",)), "perplexity")
     known = scored.join(good, F.col("__key") == F.col("__id"), "left_semi").where("nll is not null and chars >= 200")
     at = F.percentile_approx("nll", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)), 10000).alias("q")
     each = known.where("__lang is not null").groupBy("__lang").agg(at, F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).drop("c")
+    each = if_small(cut(each, "bounds"))
     whole = known.agg(at).first()[0] or [None] * 3
     everyone = F.array(*[F.lit(x).cast("double") for x in whole])
     bound = scored.join(each, "__lang", "left").withColumn("q", F.coalesce("q", everyone))
