@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import SPACE_CLASS, cut
+from sheaf.llm.common import SPACE_CLASS, cut, if_small
 
 #: Names no input column may clash with: everything internal is prefixed.
 P = "__xd_"
@@ -80,12 +80,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int =
     A row is named by its key and its text; of rows that repeat both, one stays.
     Rows without a key never win against one that has a key, and count as one.
     """
-    won = exact_groups(docs, text, key, salts).where("kept").groupBy(F.col(key).alias(f"{P}key"), F.col("text_sha256").alias(f"{P}digest")).agg(F.count(F.lit(1)).alias(f"{P}n"))
-    won = cut(won, "winners")
+    groups = cut(exact_groups(docs, text, key, salts).select(F.col(key).alias(f"{P}key"), F.col("text_sha256").alias(f"{P}digest"), "kept"), "verdicts")
     named = docs.withColumn(f"{P}own", digest(normalised(F.col(text))))
     same = F.col(key).eqNullSafe(F.col(f"{P}key")) & (F.col(f"{P}own") == F.col(f"{P}digest"))
-    once, often = won.where(f"{P}n = 1"), won.where(f"{P}n > 1")
-    stay = named.join(once, same, "left_semi")
-    if not often.isEmpty():
-        stay = stay.unionByName(named.join(often, same, "left_semi").dropDuplicates([key, f"{P}own"]))
-    return stay.drop(f"{P}own")
+    # Fewer rows go than stay: their names are sent to the texts, as long as a count allows.
+    gone = groups.where("not kept").drop("kept").distinct()
+    often = cut(groups.where("kept").groupBy(f"{P}key", f"{P}digest").count().where("count > 1").drop("count"), "repeated")
+    if often.isEmpty():
+        return named.join(if_small(gone), same, "left_anti").drop(f"{P}own")
+    stay = named.join(if_small(gone.unionByName(often)), same, "left_anti")
+    return stay.unionByName(named.join(if_small(often), same, "left_semi").dropDuplicates([key, f"{P}own"])).drop(f"{P}own")
