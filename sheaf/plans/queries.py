@@ -347,7 +347,7 @@ def width_test(spark, sf_dir):
     return R.is_tabular(table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line")), "line", ",")
 
 
-@query(f"SELECT width, count(*) AS lines FROM ({_WIDTHS}) GROUP BY width")
+@query(f"SELECT CAST(width AS INTEGER) AS width, count(*) AS lines FROM ({_WIDTHS}) GROUP BY width")
 def width_histogram(spark, sf_dir):
     each = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
     return each.groupBy(F.size(F.split("line", ",", -1)).alias("width")).agg(F.count(F.lit(1)).alias("lines"))
