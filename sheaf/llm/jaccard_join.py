@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import _LOWER, cut, mix, pulled, release, ship, signed, slices, utf8, word_hashes, words
+from sheaf.llm.common import _LOWER, cut, if_small, mix, pulled, release, ship, signed, slices, utf8, word_hashes, words
 from sheaf.llm.components import components
 
 WORDS = 5
@@ -148,9 +148,14 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(lows), n, "right") - 1
 
 
-def tag_of(n, below, seg, level):
-    """Size of the set, how many bands below its own, segment and kind in one number."""
-    return (n << 31) | (below << 29) | (seg << 2) | level
+def tag_of(below, seg, kind):
+    """How many bands below the set's own, the segment (from 1, or 0 where no deletions are indexed), and the kind, in one number."""
+    return (below << 40) | (seg << 2) | kind
+
+
+def evidence_of(below, need, units):
+    """The same for a row that tells how many units of evidence a set needs and has: a negative number."""
+    return -1 - (below | (need << 2) | (units << 32))
 
 
 #: Kinds of a signature: the whole subset, one with a shingle deleted, an empty subset asked for, a unit count.
@@ -186,12 +191,12 @@ def signatures(rows: np.ndarray, g: np.ndarray, n: np.ndarray, percent: int = PE
             at, where = full // m, full % m
             out_row.append(here[at])
             out_sig.append(mix(total[full] + salt[where]))
-            out_tag.append(tag_of(sizes[here[at]], j - t, where, WHOLE))
+            out_tag.append(tag_of(j - t, np.where(where < d, where + 1, 0), WHOLE))
             # One shingle deleted, in the first d segments, where at least one is left.
             drop = np.flatnonzero((seg < d) & (size[cell] >= 2))
             out_row.append(here[r[drop]])
             out_sig.append(mix(total[cell[drop]] - value[drop] + salt[seg[drop]]))
-            out_tag.append(tag_of(sizes[here[r[drop]]], j - t, seg[drop], DELETED))
+            out_tag.append(tag_of(j - t, seg[drop] + 1, DELETED))
             filled = size.reshape(len(here), m)
             units = (filled > 0).sum(axis=1) + (filled[:, :d] >= 2).sum(axis=1)
             # The partner is the smaller of the pair: no larger than the set, nor than its band.
@@ -201,16 +206,18 @@ def signatures(rows: np.ndarray, g: np.ndarray, n: np.ndarray, percent: int = PE
                 gone = np.flatnonzero(filled[q] == 0)
                 out_row.append(np.full(len(gone), here[q]))
                 out_sig.append(mix(salt[gone] + np.uint64(0x51ED270B)))
-                out_tag.append(tag_of(sizes[here[q]], j - t, gone, EMPTY))
+                out_tag.append(np.full(len(gone), tag_of(j - t, 0, EMPTY)))
             stat.append(np.stack([here, np.full(len(here), j - t), need, units], axis=1))
     cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     return cat(out_row, np.int64), cat(out_sig, np.uint64), cat(out_tag, np.int64), np.concatenate(stat) if stat else np.zeros((0, 4), np.int64)
 
 
 def _entries(docs: DataFrame, text: str, k: int, percent: int, slack: float, asked: list[int] | None = None) -> DataFrame:
-    """key, sig, tag of every set (once per task). Rows of tag < 0 hold units of evidence: sig = need << 32 | units, tag = -1 - bands below.
+    """key, tag, sig of every set (once per task). Rows with a negative tag hold its evidence, under a signature of their own.
 
-    With `asked`, only the empty subsets with these signatures are listed, for sets in their own band.
+    With `asked`, only the empty subsets with these signatures are listed, for
+    sets in their own band. The signature stands last: rows of a set then differ
+    in little else, and the shuffle compresses them to about half.
     """
     ship(docs.sparkSession)
     wanted = None if asked is None else docs.sparkSession.sparkContext.broadcast(np.array(sorted(asked), dtype=np.int64))
@@ -233,13 +240,17 @@ def _entries(docs: DataFrame, text: str, k: int, percent: int, slack: float, ask
                 yield _batch(*_empties(rows, g, n, key, wanted.value, percent, slack))
                 continue
             row, sig, tag, stat = signatures(rows, g, n, percent, slack)
-            yield _batch(np.concatenate([key[row], key[stat[:, 0]]]), np.concatenate([signed(sig), (stat[:, 2] << 32) | stat[:, 3]]), np.concatenate([tag, -1 - stat[:, 1]]))
+            who = key[stat[:, 0]]
+            alone = mix(who.view(np.uint64) + stat[:, 1].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+            both = np.concatenate([row, stat[:, 0]])
+            order = np.argsort(both, kind="stable")
+            yield _batch(*(x[order] for x in (np.concatenate([key[row], who]), signed(np.concatenate([sig, alone])), np.concatenate([tag, evidence_of(stat[:, 1], stat[:, 2], stat[:, 3])]))))
 
-    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key long, sig long, tag long")
+    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key long, tag long, sig long")
 
 
 def _batch(key, sig, tag):
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig), pa.array(tag)], names=["key", "sig", "tag"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(sig)], names=["key", "tag", "sig"])
 
 
 def _empties(rows, g, n, key, wanted, percent, slack):
@@ -263,7 +274,7 @@ def _empties(rows, g, n, key, wanted, percent, slack):
         r, c = np.nonzero(~filled[:, ask])
         out_key.append(key[here[r]])
         out_sig.append(sig[ask[c]])
-        out_tag.append(tag_of(n[here[r]], 0, ask[c], EMPTY))
+        out_tag.append(np.full(len(r), tag_of(0, 0, EMPTY)))
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
     return cat(out_key), cat(out_sig), cat(out_tag)
 
@@ -272,23 +283,23 @@ def _empties(rows, g, n, key, wanted, percent, slack):
 
 
 def _probes(met: DataFrame, stats: DataFrame) -> DataFrame:
-    """key, sig, pivot, other, n: the signatures by which a set looks for partners, cheapest first, until its evidence suffices."""
-    kind = F.expr("tag & 3L")
-    rows = met.select("*", kind.alias("kind"), F.expr("tag & ~3L").alias("unit"), F.expr("(tag >> 29) & 3L").alias("below"))
+    """key, sig, pivot, other: the signatures by which a set looks for partners, cheapest first, until its evidence suffices."""
+    rows = met.select("*", F.expr("tag & 3L").alias("kind"), F.expr("(tag >> 2) & ((1L << 38) - 1)").alias("seg"), F.expr("tag >> 40").alias("below")).withColumn("own", F.expr("if(seg = 0, sig, 0)"))
+    unit = ["key", "below", "seg", "own"]
     cost = lambda k: F.sum(F.when(F.col("kind") == k, F.col("sets") - 1).otherwise(0))
-    segments = rows.groupBy("key", "below", "unit").agg(cost(WHOLE).alias("c0"), cost(DELETED).alias("c1"))
+    segments = rows.groupBy(*unit).agg(cost(WHOLE).alias("c0"), cost(DELETED).alias("c1"))
     # The first unit of a segment is its whole subset; the second, where deletions are indexed, costs that and the deletions.
     # Costs of zero are units that cost nothing and are counted, not listed.
-    units = segments.select("key", "below", "unit", F.expr("stack(2, 0, if(c0 > 0, c0, 0), 1, if(c1 > 0, c0 + c1, 0)) as (level, cost)")).where("cost > 0")
+    units = segments.select(*unit, F.expr("stack(2, 0L, if(c0 > 0, c0, 0), 1L, if(c1 > 0, c0 + c1, 0)) as (kind, cost)")).where("cost > 0")
     by_set = Window.partitionBy("key", "below")
     chosen = (
-        units.withColumn("rank", F.row_number().over(by_set.orderBy("cost", "level", "unit")))
+        units.withColumn("rank", F.row_number().over(by_set.orderBy("cost", "kind", "seg", "own")))
         .withColumn("costed", F.count(F.lit(1)).over(by_set))
         .join(stats, ["key", "below"])
         .where(F.col("rank") <= F.col("need") - (F.col("units") - F.col("costed")))
-        .select("key", "below", "unit", F.col("level").cast("long").alias("kind"))
+        .select(*unit, "kind")
     )
-    return rows.join(chosen, ["key", "below", "unit", "kind"]).select("key", "sig", "pivot", "other", F.expr("tag >> 31").alias("n")).distinct()
+    return rows.join(chosen, [*unit, "kind"]).select("key", "sig", "pivot", "other").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
@@ -297,7 +308,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(f"a_id <> b_id and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     close = cut(close.select(*[F.expr(f"if(a_id < b_id, {x}_{c}, {y}_{c})").alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("id", "hi")]).distinct(), "candidates")
     needed = close.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
-    texts = cut(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(needed, "id", "left_semi"), "texts")
+    texts = cut(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(if_small(needed), "id", "left_semi"), "texts")
     release(docs.sparkSession)
     full = close.join(texts.toDF("a_id", "a_text"), "a_id").join(texts.toDF("b_id", "b_text"), "b_id")
 
@@ -338,20 +349,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")), "classes")
 
     entries = _entries(docs, text, k, percent, slack)
-    meeting = Window.partitionBy("at", "evidence")
-    kept_stats = "key", F.expr("-1 - tag").alias("below"), F.expr("sig >> 32").alias("need"), F.expr("sig & 4294967295L").alias("units")
-    # One pass over the signatures: those of a single set go; rows of evidence (tag < 0) are kept.
+    meeting = Window.partitionBy("sig")
+    # One pass over the signatures: those of a single set go; evidence and empty subsets are kept.
     met = cut(
-        entries.select("key", "sig", "tag", F.expr("if(tag < 0, key, sig)").alias("at"), F.expr("tag < 0").alias("evidence"))
-        .withColumn("pivot", F.min("key").over(meeting))
+        entries.withColumn("pivot", F.min("key").over(meeting))
         .withColumn("other", F.max("key").over(meeting))
         .withColumn("sets", F.count(F.lit(1)).over(meeting))
-        .where("tag < 0 or pivot <> other or (tag & 3) = 2")
-        .drop("at", "evidence"),
+        .where("tag < 0 or pivot <> other or (tag & 3) = 2"),
         "met",
     )
     release(docs.sparkSession)
-    stats = met.where("tag < 0").select(*kept_stats).distinct()
+    told = F.expr("-1 - tag")
+    stats = met.where("tag < 0").select("key", told.bitwiseAND(F.lit(3)).alias("below"), F.expr("((-1 - tag) >> 2) & ((1L << 30) - 1)").alias("need"), F.expr("(-1 - tag) >> 32").alias("units")).distinct()
     shared = met.where("tag >= 0 and (tag & 3) <> 2")
     probes = cut(_probes(shared, stats), "probes")
     twins = classes.groupBy("lo").count().where("count > 1").select(F.col("lo").alias("a"), F.col("lo").alias("b"))
@@ -362,17 +371,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     found = components(links).join(classes.select(F.col("id").alias("node"), "lo"), "node").select("lo", "component")
 
     # What remains: pairs of a signature in different components, the larger set of which looks for the smaller.
-    label = classes.groupBy("lo").agg(F.min("id").alias("own")).join(found.groupBy("lo").agg(F.min("component").alias("component")), "lo", "left").select(F.col("lo").alias("key"), F.coalesce("component", "own").alias("component"))
-    r = probes.join(label, "key").select(F.col("sig"), F.col("key").alias("r"), F.col("n").alias("r_n"), F.col("component").alias("r_c"))
-    s = shared.where("(tag >> 29) & 3 = 0").select("sig", "key", F.expr("tag >> 31").alias("s_n")).distinct().join(label, "key").select("sig", F.col("key").alias("s"), "s_n", F.col("component").alias("s_c"))
+    label = (
+        classes.groupBy("lo").agg(F.min("id").alias("own"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("c"))
+        .join(found.groupBy("lo").agg(F.min("component").alias("component")), "lo", "left")
+        .select(F.col("lo").alias("key"), "n", F.when(F.col("c") == 1, F.coalesce("component", "own")).alias("component"))
+    )
+    side = lambda x, c: x.join(label, "key").select("sig", F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_c"))
     size = f"s_n <= r_n and 100 * s_n >= {percent} * r_n"
-    rest = r.join(s, "sig").where(f"r_c <> s_c and {size}").select("r", "s")
+    indexed = shared.where("tag >> 40 = 0").select("sig", "key").distinct()
+    rest = side(probes.select("sig", "key"), "r").join(side(indexed, "s"), "sig").where(f"coalesce(r_c <> s_c, true) and r <> s and {size}").select("r", "s")
 
-    short = met.where("(tag & 3) = 2 and tag >= 0").select("key", "sig", F.expr("tag >> 31").alias("r_n")).distinct()
+    short = met.where("tag >= 0 and (tag & 3) = 2").select("key", "sig").distinct()
     asked = [x[0] for x in short.select("sig").distinct().collect()]  # as many as a band has segments, at most
     if asked:
-        gone = _entries(docs, text, k, percent, slack, asked).select(F.col("key").alias("s"), "sig", F.expr("tag >> 31").alias("s_n")).distinct()
-        rest = rest.unionByName(short.join(gone, "sig").where(f"key <> s and {size}").select(F.col("key").alias("r"), "s"))
+        gone = _entries(docs, text, k, percent, slack, asked).select("key", "sig").distinct()
+        rest = rest.unionByName(side(short, "r").join(side(gone, "s"), "sig").where(f"coalesce(r_c <> s_c, true) and r <> s and {size}").select("r", "s"))
     again = rest.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(again, classes, docs, text, key, k, percent)
     if not more.isEmpty():
@@ -386,6 +399,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component; rows without a key stay only if nothing shares their words."""
-    stay = near_duplicates(docs, text, key, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__nd_key")).distinct()
-    return docs.join(cut(stay, "stay"), F.col(key).eqNullSafe(F.col("__nd_key")), "left_semi")
+    """The rows of `docs` whose key is the smallest of its component; of rows that repeat such a key one stays. Rows without a key all stay."""
+    found = cut(near_duplicates(docs, text, key, **options).where(F.col(key).isNotNull()).select(F.col(key).alias("__nd_key"), "component_id"), "verdicts")
+    gone = found.where("__nd_key <> component_id").select("__nd_key").distinct()
+    often = cut(found.where("__nd_key = component_id").groupBy("__nd_key").count().where("count > 1").drop("count"), "repeated")
+    same = F.col(key) == F.col("__nd_key")
+    if often.isEmpty():
+        return docs.join(if_small(gone), same, "left_anti")
+    return docs.join(if_small(gone.unionByName(often)), same, "left_anti").unionByName(docs.join(if_small(often), same, "left_semi").dropDuplicates([key]))

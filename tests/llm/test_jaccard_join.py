@@ -74,7 +74,8 @@ def test_odd_texts(odd):
 def test_empty_table_and_dedup(odd, empty):
     assert J.near_duplicates(empty).count() == 0
     kept = J.dedup(odd)
-    assert kept.columns == odd.columns and {8} <= {r.doc_id for r in kept.collect()} and not {9, 10} & {r.doc_id for r in kept.collect()}
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd.columns and sorted(x for x in ids if x is not None) == [i for i in range(15) if i not in (9, 10)] and ids.count(None) == 2
 
 
 def test_signatures_meet_for_every_similar_pair():
