@@ -85,6 +85,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, array_to_string(w, ' ') AS body,
+                CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles
+            FROM d),
+        n AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY body) END AS class_id FROM s),
+        e AS (SELECT doc_id, unnest(shingles) AS g FROM s),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM e AS x JOIN e AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS component FROM n UNION SELECT links.b, r.component FROM r JOIN links ON links.a = r.doc_id WHERE r.component < links.b)
+        SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.class_id FROM n JOIN (SELECT doc_id, min(component) AS component_id FROM r GROUP BY doc_id) AS c USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
