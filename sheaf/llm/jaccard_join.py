@@ -19,8 +19,9 @@ difference is at most H = (100 - p)(n + s) / (100 + p).
 4. Rarely a set has too few non-empty segments. Then the sets of its band whose
    same segments are empty are looked up as well, in a second pass.
 5. Candidates are verified on their words. First each looks only at one partner
-   per signature; links found make components; then those pairs of a signature
-   that are in different components are verified. Large groups of near copies
+   per signature, the most central; links found make components; then those pairs of a signature
+   that are in different components are verified, unless sizes or parity sketches
+   of the sets show that they differ too much. Large groups of near copies
    are thus joined by a number of pairs in proportion to their size, and no link
    between components is lost.
 """
@@ -75,6 +76,16 @@ def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np
     return rows[pick], g[pick]
 
 
+SKETCH_BITS = 1024
+
+
+def sketches(rows: np.ndarray, g: np.ndarray, n: int) -> list[bytes]:
+    """Parity of the number of shingles in each of SKETCH_BITS cells, a set a row. Two sets differ in as many shingles as sketches differ in bits, at least."""
+    cell = rows * SKETCH_BITS + (mix(g + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(54)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
+    return [x.tobytes() for x in np.packbits(odd, axis=1)]
+
+
 def shingles(text: str, k: int = WORDS) -> set[tuple[bytes, ...]]:
     """The set itself, on words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -92,22 +103,22 @@ def _name(words_: list[bytes]) -> bytes:
 
 
 def keys(docs: DataFrame, text: str, key: str, k: int = WORDS) -> DataFrame:
-    """id, hi, lo, n_shingles. hi and lo: 128 bits that name the lower-cased word sequence; null without words."""
+    """id, hi, lo, n_shingles, sketch. hi and lo: 128 bits that name the lower-cased word sequence; null without words."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches, "__text"):
             raw, off = utf8(pulled(b, "__text"))
-            rows, _ = shingle_hashes(raw, off, k)
+            rows, g = shingle_hashes(raw, off, k)
             n = np.bincount(rows, minlength=b.num_rows)
             low = _LOWER[raw].tobytes()
             names = [_name(low[off[i] : off[i + 1]].split()) for i in range(b.num_rows)]
             pair = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
             none = n == 0
-            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(pair[:, 0].copy(), mask=none), pa.array(pair[:, 1].copy(), mask=none), pa.array(n)], names=["id", "hi", "lo", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(pair[:, 0].copy(), mask=none), pa.array(pair[:, 1].copy(), mask=none), pa.array(n), pa.array(sketches(rows, g, b.num_rows), pa.binary())], names=["id", "hi", "lo", "n_shingles", "sketch"])
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"id {rows.schema['__key'].dataType.simpleString()}, hi long, lo long, n_shingles long")
+    return rows.mapInArrow(run, f"id {rows.schema['__key'].dataType.simpleString()}, hi long, lo long, n_shingles long, sketch binary")
 
 
 # --- bands and their segments ----------------------------------------------------
@@ -302,6 +313,21 @@ def _probes(met: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.join(chosen, [*unit, "kind"]).select("key", "sig", "pivot", "other").distinct()
 
 
+def _stars(probes: DataFrame, shared: DataFrame) -> DataFrame:
+    """a, b: each set that looks for partners, with the most central set of each signature it looks at.
+
+    Central is the set whose signatures are shared most: of a text and its near
+    copies, that is the text, to which all are closer than to each other. So most
+    groups become one component here, by pairs in proportion to their size.
+    """
+    whole = shared.where("tag >> 40 = 0 and (tag & 3) = 0").select("sig", "key", "sets")
+    score = whole.groupBy("key").agg(F.sum("sets").alias("score"))
+    looked = whole.select("sig", "key").join(probes.select("sig").distinct(), "sig", "left_semi")
+    central = looked.join(score, "key").groupBy("sig").agg(F.max(F.struct("score", "key")).alias("top")).select("sig", F.col("top.key").alias("centre"))
+    partner = F.expr("case when centre is not null and key <> centre then centre when key = pivot then other else pivot end")
+    return probes.join(central, "sig", "left").select("key", partner.alias("partner")).select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
     """a, b: representatives of the classes of candidate keys whose texts are similar."""
     side = lambda c: classes.select(F.col("lo").alias(c), F.col("id").alias(f"{c}_id"), F.col("hi").alias(f"{c}_hi"), F.col("n_shingles").alias(f"{c}_n"))
@@ -334,6 +360,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return cut(full.select(*columns).mapInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
 
 
+def close_pairs(sig, key, component, n, sketch, probe, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one signature in different components that sizes and sketches leave possible: the set that looks, and a smaller or equal one.
+
+    Arrays are sorted by signature. Memory goes with the rows: all pairs of a
+    signature are formed for a block of those that look at a time.
+    """
+    edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, int)
+    left, right = [], []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if hi - lo < 2:
+            continue
+        r_all, s = lo + np.flatnonzero(probe[lo:hi]), lo + np.flatnonzero(~probe[lo:hi])
+        if not len(s) or (component[lo:hi] == component[lo]).all():
+            continue
+        step = max(1, (1 << 16) // len(s))
+        for at in range(0, len(r_all), step):
+            r = r_all[at : at + step]
+            a, b = n[r][:, None], n[s][None]
+            ok = (component[r][:, None] != component[s][None]) & (b <= a) & (100 * b >= percent * a) & (key[r][:, None] != key[s][None])
+            i, j = np.nonzero(ok)
+            i, j = r[i], s[j]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            near = apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
+            left.append(key[i[near]])
+            right.append(key[j[near]])
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(left), cat(right)
+
+
+def _across(probes: DataFrame, indexed: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """r, s: candidates in different components. Only signatures whose sets lie in several components are met again."""
+    both = indexed.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))).join(label, "key")
+    # Keys whose 64 bits name several classes have no component; they differ from all.
+    named = both.withColumn("component", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("key "), F.col("key").cast("string")))).withColumn("component", F.xxhash64("component"))
+    mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    rows = cut(named.select("sig", "key", "component", "n", "sketch", "probe").join(mixed, "sig", "left_semi"), "mixed")
+    buckets = max(1, rows.count() // 50_000)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        t = table.sort_by("sig")
+        col = lambda c: t.column(c).to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
+        r, s = close_pairs(col("sig"), col("key"), col("component"), col("n"), sketch, t.column("probe").to_numpy(zero_copy_only=False).astype(bool), percent)
+        u = np.unique(np.stack([r, s], axis=1), axis=0) if len(r) else np.zeros((0, 2), np.int64)
+        return pa.table({"r": u[:, 0].copy(), "s": u[:, 1].copy()})
+
+    return rows.withColumn("bucket", F.pmod("sig", F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "r long, s long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
     """One row per row: key, n_shingles, component_id, class_id.
 
@@ -346,7 +421,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     columns are not read; an empty table gives no rows.
     """
     rows = cut(keys(docs, text, key, k), "keys")
-    classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")), "classes")
+    classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
     entries = _entries(docs, text, k, percent, slack)
     meeting = Window.partitionBy("sig")
@@ -365,21 +440,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     probes = cut(_probes(shared, stats), "probes")
     twins = classes.groupBy("lo").count().where("count > 1").select(F.col("lo").alias("a"), F.col("lo").alias("b"))
 
-    partner = F.expr("if(key = pivot, other, pivot)")
-    first = probes.select(F.least("key", partner).alias("a"), F.greatest("key", partner).alias("b")).unionByName(twins).distinct()
+    first = cut(_stars(probes, shared).unionByName(twins).distinct(), "stars")
     links = _verified(first, classes, docs, text, key, k, percent)
     found = components(links).join(classes.select(F.col("id").alias("node"), "lo"), "node").select("lo", "component")
 
     # What remains: pairs of a signature in different components, the larger set of which looks for the smaller.
     label = (
-        classes.groupBy("lo").agg(F.min("id").alias("own"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("c"))
+        classes.groupBy("lo").agg(F.min("id").alias("own"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("c"), F.first("sketch").alias("sketch"))
         .join(found.groupBy("lo").agg(F.min("component").alias("component")), "lo", "left")
-        .select(F.col("lo").alias("key"), "n", F.when(F.col("c") == 1, F.coalesce("component", "own")).alias("component"))
+        .select(F.col("lo").alias("key"), "n", F.when(F.col("c") == 1, F.coalesce("component", "own")).alias("component"), "sketch")
     )
     side = lambda x, c: x.join(label, "key").select("sig", F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_c"))
     size = f"s_n <= r_n and 100 * s_n >= {percent} * r_n"
-    indexed = shared.where("tag >> 40 = 0").select("sig", "key").distinct()
-    rest = side(probes.select("sig", "key"), "r").join(side(indexed, "s"), "sig").where(f"coalesce(r_c <> s_c, true) and r <> s and {size}").select("r", "s")
+    rest = _across(probes.select("sig", "key"), shared.where("tag >> 40 = 0").select("sig", "key").distinct(), label, percent)
 
     short = met.where("tag >= 0 and (tag & 3) = 2").select("key", "sig").distinct()
     asked = [x[0] for x in short.select("sig").distinct().collect()]  # as many as a band has segments, at most
@@ -392,7 +465,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         links = links.unionByName(more)
     whole = components(links)
     named = classes.join(whole, F.col("id") == F.col("node"), "left").select("hi", "lo", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(named, ["hi", "lo"], "left")
+    out = rows.drop("sketch").join(named, ["hi", "lo"], "left")
     return out.select(
         F.col("id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("class_id", "id").alias("class_id")
     )
