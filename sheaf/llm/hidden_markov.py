@@ -60,7 +60,7 @@ def _unpacked(raw: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def chunks(docs: DataFrame, train, text: str, key: str, bits: int, chunk_bytes: int = 12 << 20) -> DataFrame:
+def chunks(docs: DataFrame, train, text: str, key: str, bits: int, chunk_bytes: int = 8 << 20) -> DataFrame:
     """chunk, shard, blob. Shard -1: the chunk's texts as numbers of its distinct words. Others: hashes and training counts of those in the shard."""
     ship(docs.sparkSession)
 
@@ -68,7 +68,7 @@ def chunks(docs: DataFrame, train, text: str, key: str, bits: int, chunk_bytes:
         k = TaskContext.get().partitionId() << 24
         for b in slices(batches, "__text", chunk_bytes):
             n, hashes, lengths = b.num_rows, [], []
-            for part in slices([b], "__text"):  # bounded temporaries
+            for part in slices([b], "__text", 2 << 20):  # bounded temporaries
                 raw, off = utf8(pulled(part, "__text"))
                 s, e, row = words(raw, off)
                 hashes.append(word_hashes(raw, s, e))
@@ -115,18 +115,25 @@ def _answer(table: pa.Table) -> pa.Table:
     )
 
 
-def _summed(parts: DataFrame, fields: int) -> np.ndarray:
-    """Element-wise sum of blobs that hold (index, value...) columns; salted, so that no task gathers all of them."""
+FAN = 16
+
+
+def _summed(parts: DataFrame, fields: int, many: int) -> np.ndarray:
+    """Element-wise sum of blobs that hold (index, value...) columns, as a tree: no task gathers more than FAN of them.
+
+    parts: salt (a number below `many`, each in few rows) and blob.
+    """
 
     def add(table: pa.Table) -> pa.Table:
         got = np.concatenate([np.frombuffer(x, "<f8").reshape(fields, -1) for x in table.column("blob").to_pylist()], axis=1)
         at, inverse = np.unique(got[0], return_inverse=True)
         out = np.stack([at, *(np.bincount(inverse, weights=x, minlength=len(at)) for x in got[1:])])
-        return pa.table({"salt": pa.array([table.column("salt")[0].as_py() // 16], pa.int64()), "blob": pa.array([out.astype("<f8").tobytes()], pa.binary())})
+        return pa.table({"salt": pa.array([table.column("salt")[0].as_py()], pa.int64()), "blob": pa.array([out.astype("<f8").tobytes()], pa.binary())})
 
-    for _ in range(2):
-        parts = parts.groupBy("salt").applyInArrow(add, "salt long, blob binary")
-    rows = [np.frombuffer(r["blob"], "<f8").reshape(fields, -1) for r in parts.collect()]  # 16 at most, each bound by the number of classes
+    while many > FAN:
+        many = -(-many // FAN)
+        parts = parts.withColumn("salt", F.expr(f"salt div {FAN}")).groupBy("salt").applyInArrow(add, "salt long, blob binary")
+    rows = [np.frombuffer(r["blob"], "<f8").reshape(fields, -1) for r in parts.collect()]  # FAN at most, each bound by the number of classes
     return np.concatenate(rows, axis=1) if rows else np.zeros((fields, 0))
 
 
@@ -150,8 +157,8 @@ def expected(hmm: HMM, token: np.ndarray, length: np.ndarray) -> tuple[np.ndarra
     n_win = -(-length // WINDOW)
     start = np.repeat(np.cumsum(length) - length, n_win) + (np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)) * WINDOW
     size = np.minimum(np.repeat(np.cumsum(length), n_win) - start, WINDOW)
-    for at in range(0, len(start), 4096):
-        s, z = start[at : at + 4096], size[at : at + 4096]
+    for at in range(0, len(start), 1024):
+        s, z = start[at : at + 1024], size[at : at + 1024]
         place = np.arange(z.max())
         real = place[None] < z[:, None]
         seq = np.where(real, token[np.minimum(s[:, None] + place, len(token) - 1)], 0)
@@ -227,9 +234,9 @@ def fit(payload: DataFrame, sums: np.ndarray, rounds: int = 3, states: int = STA
                 rows = np.concatenate([total[2].ravel(), total[1].ravel(), total[0]])
                 at = np.flatnonzero(rows)
                 blob = np.stack([at, rows[at]]).astype("<f8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 256]), pa.array([blob], pa.binary())], names=["salt", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([blob], pa.binary())], names=["salt", "blob"])
 
-        at, value = _summed(payload.mapInArrow(count, "salt long, blob binary"), 2)
+        at, value = _summed(payload.mapInArrow(count, "salt long, blob binary"), 2, payload.rdd.getNumPartitions())
         flat = np.zeros(SYMBOLS * states + states * states + states)
         np.add.at(flat, at.astype(int), value)
         emit, move, first = np.split(flat, [SYMBOLS * states, SYMBOLS * states + states * states])
@@ -263,9 +270,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     def as_floats(batches):
         for b in batches:
             got = [np.frombuffer(x, "<i8").astype("<f8").tobytes() for x in pulled(b, "blob").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([s % 256 for s in pulled(b, "shard").to_pylist()], pa.int64()), pa.array(got, pa.binary())], names=["salt", "blob"])
+            yield pa.RecordBatch.from_arrays([pulled(b, "shard"), pa.array(got, pa.binary())], names=["salt", "blob"])
 
-    hmm = fit(payload, _summed(answers.where("chunk = -1").mapInArrow(as_floats, "salt long, blob binary"), 3), rounds, states)
+    hmm = fit(payload, _summed(answers.where("chunk = -1").mapInArrow(as_floats, "salt long, blob binary"), 3, 1 << bits), rounds, states)
     sent = spark.sparkContext.broadcast(hmm)
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
