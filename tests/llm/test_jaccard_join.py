@@ -122,3 +122,32 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    sets, sizes = [], []
+    for _ in range(40):
+        a = rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(len(a), len(a) // 8, replace=False)] = rng.integers(0, 2**63, len(a) // 8).astype(np.uint64)
+        sets += [a, b]
+        sizes += [len(a), len(b)]
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    sketch = np.frombuffer(b"".join(J.sketches(rows, np.concatenate(sets), len(sets))), dtype=np.uint64).reshape(len(sets), -1)
+    key, n = np.arange(len(sets)), np.array(sizes)
+    # All under one signature, each in its own component, once as a set that looks and once as one that is looked for.
+    twice = lambda x: np.concatenate([x, x])
+    probe = np.repeat([True, False], len(sets))
+    r, s = J.close_pairs(np.zeros(2 * len(sets), np.int64), twice(key), twice(key), twice(n), np.concatenate([sketch, sketch]), probe, 80)
+    found = {(min(x), max(x)) for x in zip(r.tolist(), s.tolist())}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if J.linked(set(sets[i].tolist()), set(sets[j].tolist()))}
+    assert links <= found and len(links) > 20 and len(found) < len(sets) * 6
+
+
+def test_pairs_of_one_component_or_of_other_sizes_are_not_formed():
+    none = np.zeros((4, 16), np.uint64)
+    key, n, probe = np.arange(4), np.array([10, 10, 10, 4]), np.array([True, True, False, False])
+    assert J.close_pairs(np.zeros(4, np.int64), key, np.array([7, 7, 7, 7]), n, none, probe, 80)[0].size == 0
+    r, s = J.close_pairs(np.zeros(4, np.int64), key, np.array([7, 8, 7, 7]), n, none, probe, 80)
+    assert list(zip(r, s)) == [(1, 2)]
