@@ -130,7 +130,7 @@ def test_sketches_never_rule_out_a_link():
     for _ in range(40):
         a = rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64)
         b = a.copy()
-        b[rng.choice(len(a), len(a) // 8, replace=False)] = rng.integers(0, 2**63, len(a) // 8).astype(np.uint64)
+        b[rng.choice(len(a), len(a) // 10, replace=False)] = rng.integers(0, 2**63, len(a) // 10).astype(np.uint64)
         sets += [a, b]
         sizes += [len(a), len(b)]
     rows = np.repeat(np.arange(len(sets)), sizes)
