@@ -6,12 +6,17 @@ of a text is one space or one line feed between other characters, no token spans
 two words, and ids of words met before are looked up. Other texts are encoded
 whole. Both ways give the ids of the `tokenizers` library; each worker compares
 them with it on its first texts and raises an error on a difference.
+
+The file's added tokens are plain text unless `added` is set. With it they are
+matched in texts, as the library does by default: a text is split at them, and
+each stands for its one id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 
@@ -28,7 +33,7 @@ def _printable() -> dict[str, int]:
 
 
 class ByteBPE:
-    def __init__(self, spec: bytes, remembered: int = 400_000, checked: int = 16):
+    def __init__(self, spec: bytes, remembered: int = 400_000, checked: int = 16, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -39,7 +44,12 @@ class ByteBPE:
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
         self.engine = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.peer = Tokenizer.from_str(spec.decode())
-        self.peer.encode_special_tokens = True
+        self.peer.encode_special_tokens = not added
+        tokens = parsed["added_tokens"] if added else []
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4") for t in tokens}
+        self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
+        # Tokens that take spaces beside them, or stand only between words, are left to the library.
+        self.exact = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens) and not parsed["normalizer"]
         self.size = max(parsed["model"]["vocab"].values()) + 1
         self.feed = self.engine.encode_single_token("\n")
         self.opens = np.zeros(self.size, dtype=bool)
@@ -60,22 +70,36 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; an empty text has none."""
-        plain = [bool(t) and " ".join(t.split()) == t.replace("\n", " ") for t in texts]
-        known = iter(self.words.encode([[x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, plain) if ok]))
-        out = [np.frombuffer(next(known), dtype="<u4") if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4") for t, ok in zip(texts, plain)]
+        holds = [any(a in t for a in self.added) for t in texts]
+        split = iter(self._split([t for t, h in zip(texts, holds) if h]))
+        whole = iter(self._ordinary([t for t, h in zip(texts, holds) if not h]))
+        out = [next(split if h else whole) for h in holds]
         for t, ids in zip(texts[: self.to_check], out):
             if self.peer.encode(t, add_special_tokens=False).ids != ids.tolist():
                 raise AssertionError(f"a text of {len(t)} characters differs from the tokenizers library")
         self.to_check -= min(self.to_check, len(texts))
         return out
 
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that hold added tokens: the stretches between them are texts of their own."""
+        if not self.exact:
+            return [np.array(self.peer.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+        parts = [self.split.split(t) for t in texts]  # stretches at even places, tokens at odd ones
+        known = iter(self._ordinary([x for p in parts for x in p[::2]]))
+        return [np.concatenate([self.added[x] if i % 2 else next(known) for i, x in enumerate(p)]) for p in parts]
+
+    def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [bool(t) and " ".join(t.split()) == t.replace("\n", " ") for t in texts]
+        known = iter(self.words.encode([[x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, plain) if ok]))
+        return [np.frombuffer(next(known), dtype="<u4") if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4") for t, ok in zip(texts, plain)]
+
 
-_LOADED: dict[str, ByteBPE] = {}
+_LOADED: dict[tuple[str, bool], ByteBPE] = {}
 
 
-def load(spec: bytes) -> ByteBPE:
-    name = hashlib.sha256(spec).hexdigest()
+def load(spec: bytes, added: bool = False) -> ByteBPE:
+    name = hashlib.sha256(spec).hexdigest(), added
     if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = ByteBPE(spec)
+        _LOADED[name] = ByteBPE(spec, added=added)
     return _LOADED[name]

@@ -28,14 +28,17 @@ SALTS = 64
 
 
 def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_id", window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens [, ids]: one row per piece. Null and empty texts are the end id alone."""
+    """key, start, length, ids_crc32, doc_tokens [, ids]: one row per piece. Null and empty texts are the end id alone.
+
+    The file's added tokens are matched in texts and stand for their own ids.
+    """
     spark = docs.sparkSession
     ship(spark)
     with open(spec_path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = byte_bpe.load(spec.value)
+        bpe = byte_bpe.load(spec.value, added=True)
         for b in slices(batches, "__text", 2 << 20):
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for i, got in enumerate(bpe.encode_batch([t or "" for t in pulled(b, "__text").to_pylist()])):

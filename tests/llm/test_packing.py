@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -35,6 +36,31 @@ def test_same_ids_as_the_library(bpe, library, texts):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+MARK = "<|endoftext|>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.just(MARK), st.text(alphabet="abI's12 \n\té<|>", max_size=12)), max_size=6), max_size=4))
+def test_added_tokens_are_matched_as_by_the_library(texts):
+    plain, bpe = Tokenizer.from_file(PATH), added()
+    texts = ["".join(t) for t in texts] + [f"a {MARK} b", MARK, MARK * 2, f"{MARK}\n x", f"x  {MARK}", "<|endoftext", ""]
+    for t, ids in zip(texts, bpe.encode_batch(texts)):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+@cache
+def added():
+    with open(PATH, "rb") as f:
+        return ByteBPE(f.read(), checked=0, added=True)
+
+
+def test_packing_matches_added_tokens(spark):
+    texts = {1: f"a {MARK} b", 2: "a b", 3: MARK * 70}
+    plain = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(K.pack_documents(docs, PATH, window=64).collect(), {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in texts.items()}, 64)
+
+
 def check(rows, ids, window=1024):
     cover, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
