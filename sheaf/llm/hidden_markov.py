@@ -1,25 +1,26 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens are lower-cased words and one end per text. A state emits a word in two
-steps: one of 2^16 word classes (a hash of the word), then the word within its
-class, by its smoothed share of the class's training tokens. All words that
-training never met are one token. Smoothing adds one half to each word's count,
-as in the base, so that a single state would score as the base does. Transition and class
-emission probabilities are trained by Baum-Welch over all training texts, in
-windows: every task sums its expected counts, salted sums meet, and the driver
-sees states x classes numbers, whatever the corpus. Scoring runs the scaled
-forward recursion over each whole text, so the likelihood is exact.
-
-Counts of single words do not fit anywhere in general. They are kept in shards of
-the hash space: each chunk of texts asks every shard for its distinct words, once,
-and gets their counts back in order. Words are told apart by 64-bit hashes of
+Tokens are lower-cased words and one end per text. A state emits words: every word
+of the training texts has its own expected count in each state, so the model grows
+with the vocabulary. All words that training never met are one token. Smoothing
+adds one half to each word's count, shared by the states, as in the base, so that
+a single state scores as the base does. Transitions and emissions are trained by
+Baum-Welch over all training texts, each as a whole.
+
+Neither counts nor expected counts of words fit anywhere in general. They are kept
+in shards of the hash space: each chunk of texts asks every shard for its distinct
+words, once, and gets their counts and emission weights back in order. In each
+round a chunk sends its expected counts to the shards and gets the new weights
+back. The driver sees the states' own numbers only: starts, moves, ends and the
+sums of the emission weights. Scoring runs the scaled forward recursion over each
+whole text, so the likelihood is exact. Words are told apart by 64-bit hashes of
 their bytes (among 10^9 words two of one hash are expected with probability 0.03).
 """
 
 from __future__ import annotations
 
 import io
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +29,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import cut, fold, pulled, ship, slices, utf8, word_hashes, words
+from sheaf.llm.common import cut, discard, fold, mix, pulled, release, ship, slices, utf8, word_hashes, words
 
-CLASSES = 1 << 16
-END, UNKNOWN = CLASSES, CLASSES + 1  # classes of the end token and of words that training never met
-SYMBOLS = CLASSES + 2
+SYMBOLS = 8  # rows that an emission table has at least; a chunk's has one for each of its words, the end and the unknown
 STATES = 4
 WINDOW = 128
+BLOCK = 1 << 17  # tokens that are trained on side by side, but for longer texts
+PAYLOAD, WEIGHTS, COUNTS, SENT, STATS = range(5)  # what a row holds
 
 
 @dataclass
 class HMM:
     first: np.ndarray  # states
     move: np.ndarray  # states x states
-    emit: np.ndarray  # symbols x states
-    class_tokens: np.ndarray  # training tokens of each class
-    class_words: np.ndarray  # distinct training words of each class
+    emit: np.ndarray | None  # symbols x states; a chunk's own
+    weight: np.ndarray  # emission weights of the end and the unknown, by state
+    mass: np.ndarray  # sums of all emission weights, by state
     train_docs: int
     train_tokens: int
     distinct: int
 
 
+LAID = "chunk long, shard long, kind long, blob binary"
+ROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("kind", pa.int64()), ("blob", pa.binary())])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), ROW.types)], schema=ROW)
+
+
 def _packed(**arrays: np.ndarray) -> bytes:
     f = io.BytesIO()
     np.savez(f, **arrays)
@@ -61,14 +70,14 @@ def _unpacked(raw: bytes) -> dict[str, np.ndarray]:
 
 
 def chunks(docs: DataFrame, train, text: str, key: str, bits: int, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """chunk, shard, blob. Shard -1: the chunk's texts as numbers of its distinct words. Others: hashes and training counts of those in the shard."""
+    """chunk, shard, kind, blob. Payload: the chunk's texts as numbers of its distinct words. Counts: hashes and training counts of those in the shard."""
     ship(docs.sparkSession)
 
     def run(batches):
         k = TaskContext.get().partitionId() << 24
         for b in slices(batches, "__text", chunk_bytes):
             n, hashes, lengths = b.num_rows, [], []
-            for part in slices([b], "__text", 2 << 20):  # bounded temporaries
+            for part in slices([b], "__text", 1 << 20):  # bounded temporaries
                 raw, off = utf8(pulled(part, "__text"))
                 s, e, row = words(raw, off)
                 hashes.append(word_hashes(raw, s, e))
@@ -81,108 +90,152 @@ def chunks(docs: DataFrame, train, text: str, key: str, bits: int, chunk_bytes:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema) as w:
                 w.write_batch(keys)
-            rows = [(k, -1, _packed(keys=np.frombuffer(sink.getvalue(), np.uint8), trained=trained, length=length.astype(np.int64), index=inverse.astype(np.uint32), kind=(u % np.uint64(CLASSES)).astype(np.uint16)))]
+            rows = [(k, -1, PAYLOAD, _packed(keys=np.frombuffer(sink.getvalue(), np.uint8), trained=trained, length=length.astype(np.int64), index=inverse.astype(np.uint32)))]
             shard = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
             edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
             for i in np.flatnonzero(np.diff(edges)):
                 lo, hi = edges[i], edges[i + 1]
-                rows.append((k, int(i), u[lo:hi].astype("<u8").tobytes() + count[lo:hi].astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "shard", "blob"])
+                rows.append((k, int(i), COUNTS, u[lo:hi].astype("<u8").tobytes() + count[lo:hi].astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ROW.types)], schema=ROW)
             k += 1
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), train.alias("__train"))
-    return rows.mapInArrow(run, "chunk long, shard long, blob binary")
+    return rows.mapInArrow(run, LAID)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """One shard: total counts of its words, to every chunk that asked; and the class sums of its words (chunk -1)."""
-    blobs = [np.frombuffer(x, "<u8") for x in table.column("blob").to_pylist()]
-    sizes = [len(x) // 2 for x in blobs]
-    u, inverse = np.unique(np.concatenate([x[:n] for x, n in zip(blobs, sizes)]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([x[n:].view("<i8") for x, n in zip(blobs, sizes)]), minlength=len(u)).astype("<i8")
-    kind, seen = (u % np.uint64(CLASSES)).astype(np.int64), total > 0
-    at = np.flatnonzero(np.bincount(kind[seen], minlength=CLASSES)).astype("<i8")
-    sums = np.bincount(kind[seen], weights=total[seen], minlength=CLASSES).astype("<i8")[at]
-    n_words = np.bincount(kind[seen], minlength=CLASSES).astype("<i8")[at]
-    found = np.split(total[inverse], np.cumsum(sizes)[:-1])
-    shard = table.column("shard").to_pylist()
-    return pa.table(
-        {
-            "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()),
-            "shard": pa.array([*shard, shard[0]], pa.int64()),
-            "blob": pa.array([*(x.tobytes() for x in found), np.stack([at, sums, n_words]).astype("<i8").tobytes()], pa.binary()),
-        }
-    )
+def _answer(states: int, seed: int):
+    """One shard: total counts of its words and their first weights, to every chunk that asked; and the sums of its words."""
 
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, "<u8") for x in table.column("blob").to_pylist()]
+        sizes = [len(x) // 2 for x in blobs]
+        u, inverse = np.unique(np.concatenate([x[:n] for x, n in zip(blobs, sizes)]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([x[n:].view("<i8") for x, n in zip(blobs, sizes)]), minlength=len(u)).astype("<i8")
+        # States differ at first by a factor for each word, from its hash.
+        noise = np.stack([mix(u + np.uint64(0x9E3779B97F4A7C15 * (seed + j + 1) % (1 << 64))) for j in range(states)], axis=1) / 2.0**64 + 0.5
+        weight = np.where(total[:, None] > 0, (total[:, None] + 0.5) / states * noise, 0.0).astype("<f4")
+        rows, at = [], 0
+        shards = table.column("shard").to_pylist()
+        for chunk, shard, n in zip(table.column("chunk").to_pylist(), shards, sizes):
+            place = inverse[at : at + n]
+            rows += [(chunk, shard, COUNTS, total[place].tobytes()), (chunk, shard, WEIGHTS, _placed(place, weight[place]))]
+            at += n
+        sums = np.concatenate([[total.sum(), (total > 0).sum()], weight.sum(axis=0, dtype=float)])
+        return _table([*rows, (-1, shards[0], STATS, sums.tobytes())])
 
-FAN = 16
+    return run
 
 
-def _summed(parts: DataFrame, fields: int, many: int) -> np.ndarray:
-    """Element-wise sum of blobs that hold (index, value...) columns, as a tree: no task gathers more than FAN of them.
+def _placed(place: np.ndarray, value: np.ndarray) -> bytes:
+    """Places of words in their shard, and their numbers by state."""
+    return place.astype("<u4").tobytes() + value.astype("<f4").tobytes()
+
+
+def _unplaced(blob: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // (4 + 4 * states)
+    return np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<f4", n * states, 4 * n).reshape(n, states)
 
-    parts: salt (a number below `many`, each in few rows) and blob.
-    """
 
-    def add(table: pa.Table) -> pa.Table:
-        got = np.concatenate([np.frombuffer(x, "<f8").reshape(fields, -1) for x in table.column("blob").to_pylist()], axis=1)
-        at, inverse = np.unique(got[0], return_inverse=True)
-        out = np.stack([at, *(np.bincount(inverse, weights=x, minlength=len(at)) for x in got[1:])])
-        return pa.table({"salt": pa.array([table.column("salt")[0].as_py()], pa.int64()), "blob": pa.array([out.astype("<f8").tobytes()], pa.binary())})
-
-    while many > FAN:
-        many = -(-many // FAN)
-        parts = parts.withColumn("salt", F.expr(f"salt div {FAN}")).groupBy("salt").applyInArrow(add, "salt long, blob binary")
-    rows = [np.frombuffer(r["blob"], "<f8").reshape(fields, -1) for r in parts.collect()]  # FAN at most, each bound by the number of classes
-    return np.concatenate(rows, axis=1) if rows else np.zeros((fields, 0))
-
-
-def _sequences(z: dict[str, np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the chosen texts' tokens, ends included, one after the other, and the texts' lengths."""
-    length = z["length"]
-    token = z["kind"][z["index"]].astype(np.int64)[np.repeat(which, length)]
-    n = length[which]
-    out = np.full(int(n.sum() + len(n)), END, dtype=np.int64)
-    out[np.arange(len(token)) + np.repeat(np.arange(len(n)), n)] = token
-    return out, n + 1
-
-
-def expected(hmm: HMM, token: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, moves and emissions over windows of the texts, by scaled forward and backward passes."""
-    k = len(hmm.first)
-    first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
+def _renew(states: int):
+    """One shard: the sums of its words' expected counts, smoothed, to every chunk that sent some."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent = [_unplaced(x, states) for x in table.column("blob").to_pylist()]
+        place = np.concatenate([p for p, _ in sent])
+        total = np.stack([np.bincount(place, weights=np.concatenate([v[:, j] for _, v in sent])) for j in range(states)], axis=1)
+        met = total.sum(axis=1, keepdims=True) > 0.5  # a word of training texts counts once at least
+        weight = np.where(met, total + 0.5 / states, 0.0)
+        return _table([(c, s, WEIGHTS, _placed(p, weight[p])) for c, s, (p, _) in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), sent)])
+
+    return run
+
+
+def _sums(stats: DataFrame, size: int) -> np.ndarray:
+    """Element-wise sum of the statistics rows' blobs of `size` numbers each."""
+
+    def unfold(batches):
+        for b in batches:
+            got = [np.frombuffer(x, "<f8") for x in pulled(b, "blob").to_pylist()]
+            if got:
+                yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(size)), "v": pa.array(np.sum(got, axis=0))})
+
+    out = np.zeros(size)
+    for r in stats.where(F.col("kind") == STATS).select("blob").mapInArrow(unfold, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+class _Chunk:
+    """One chunk's rows put together: its texts, and the numbers of its words in order (shards are ranges of the hash)."""
+
+    def __init__(self, table: pa.Table, hmm: HMM):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "blob", "chunk"))), key=lambda r: r[:2])
+        of = lambda kind: [r for r in rows if r[0] == kind]
+        states = len(hmm.first)
+        self.texts, self.name = _unpacked(rows[0][2]), rows[0][3]
+        self.shards = [r[1] for r in of(WEIGHTS)]
+        got = [_unplaced(r[2], states) for r in of(WEIGHTS)]
+        self.places = [p for p, _ in got]
+        self.count = np.concatenate([np.frombuffer(r[2], "<i8") for r in of(COUNTS)] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([*(w for _, w in got), hmm.weight, np.zeros((SYMBOLS, states))])
+        self.words = len(weight) - 2 - SYMBOLS
+        self.met = weight[: self.words].sum(axis=1) > 0
+        self.hmm = replace(hmm, emit=weight / hmm.mass)
+
+    def sequences(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the chosen texts' tokens, ends included, one after the other, and the texts' lengths."""
+        length = self.texts["length"]
+        symbol = np.where(self.met, np.arange(self.words), self.words + 1)
+        token = symbol[self.texts["index"][np.repeat(which, length)]] if self.words else np.zeros(0, np.int64)
+        n = length[which]
+        out = np.full(int(n.sum() + len(n)), self.words, dtype=np.int64)
+        out[np.arange(len(token)) + np.repeat(np.arange(len(n)), n)] = token
+        return out, n + 1
+
+
+def expected(hmm: HMM, token: np.ndarray, length: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected first states, moves and emissions over windows of the texts, or over `whole` texts, by scaled forward and backward passes."""
+    k, symbols = len(hmm.first), len(hmm.emit)
+    first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
     if not len(token):
         return first, move, emit
-    # Windows of WINDOW tokens; a text's last one is shorter.
-    n_win = -(-length // WINDOW)
-    start = np.repeat(np.cumsum(length) - length, n_win) + (np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)) * WINDOW
-    size = np.minimum(np.repeat(np.cumsum(length), n_win) - start, WINDOW)
-    for at in range(0, len(start), 1024):
-        s, z = start[at : at + 1024], size[at : at + 1024]
-        place = np.arange(z.max())
-        real = place[None] < z[:, None]
-        seq = np.where(real, token[np.minimum(s[:, None] + place, len(token) - 1)], 0)
+    start, size = np.cumsum(length) - length, length
+    if not whole:  # windows of WINDOW tokens; a text's last one is shorter
+        n_win = -(-length // WINDOW)
+        start = np.repeat(start, n_win) + (np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)) * WINDOW
+        size = np.minimum(np.repeat(np.cumsum(length), n_win) - start, WINDOW)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), BLOCK, "right")) + lo)
+        s, z = start[lo:hi], size[lo:hi]
+        lo = hi
+        # Token t of all texts that have one, then token t + 1.
+        live = len(z) - np.searchsorted(z[::-1], np.arange(z[0]), "right")
+        at = np.concatenate([[0], np.cumsum(live)])
+        t_of = np.repeat(np.arange(z[0]), live)
+        j_of = np.arange(at[-1]) - at[t_of]
+        seq = token[s[j_of] + t_of]
         e = hmm.emit[seq]
-        e[~real] = 1.0
-        a, b, c = np.empty_like(e), np.empty_like(e), np.ones(seq.shape)
-        v = hmm.first * e[:, 0]
-        for t in range(len(place)):
-            if t:
-                v = (a[:, t - 1] @ hmm.move) * e[:, t]
-            c[:, t] = v.sum(axis=1)
-            a[:, t] = v / c[:, t, None]
-        b[:, -1] = 1.0
-        for t in range(len(place) - 1, 0, -1):
-            w = (e[:, t] * b[:, t] / c[:, t, None]) @ hmm.move.T
-            b[:, t - 1] = np.where(real[:, t, None], w, 1.0)
-        p = (a * b)[real]
+        a, b, c = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1))
+        edge = at.tolist()
+        for t in range(len(live)):
+            x, y = edge[t], edge[t + 1]
+            v = (a[edge[t - 1] : edge[t - 1] + y - x] @ hmm.move if t else hmm.first) * e[x:y]
+            c[x:y] = v.sum(axis=1, keepdims=True)
+            a[x:y] = v / c[x:y]
+        e /= c
+        for t in range(len(live) - 1, 0, -1):
+            x, y = edge[t], edge[t + 1]
+            b[edge[t - 1] : edge[t - 1] + y - x] = (e[x:y] * b[x:y]) @ hmm.move.T
+        p = a * b
         p /= p.sum(axis=1, keepdims=True)
-        first += (a[:, 0] * b[:, 0]).sum(axis=0)
-        step = real[:, 1:]
-        move += hmm.move * (a[:, :-1][step].T @ (e[:, 1:] * b[:, 1:] / c[:, 1:, None])[step])
-        flat = seq[real]
+        first += p[: edge[1]].sum(axis=0)
+        later = np.arange(edge[1], edge[-1])
+        move += hmm.move * (a[at[t_of[later] - 1] + j_of[later]].T @ (e[later] * b[later]))
         for j in range(k):
-            emit[:, j] += np.bincount(flat, weights=p[:, j], minlength=SYMBOLS)
+            emit[:, j] += np.bincount(seq, weights=p[:, j], minlength=symbols)
     return first, move, emit
 
 
@@ -206,44 +259,43 @@ def forward(hmm: HMM, token: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(payload: DataFrame, sums: np.ndarray, rounds: int = 3, states: int = STATES, seed: int = 3) -> HMM:
-    """Baum-Welch over all training texts. sums: class, tokens, words."""
+def _step(hmm: HMM):
+    """One chunk: its words' expected counts, to the shards; and the sums of all else."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c = _Chunk(table, hmm)
+        first, move, emit = expected(c.hmm, *c.sequences(c.texts["trained"]), whole=True)
+        parts = np.split(emit[: c.words], np.cumsum([len(p) for p in c.places])[:-1])
+        rows = [(c.name, s, SENT, _placed(p, v)) for s, p, v in zip(c.shards, c.places, parts)]
+        stats = np.concatenate([first, move.ravel(), emit[c.words], emit[: c.words].sum(axis=0)])
+        return _table([*rows, (c.name, -1, STATS, stats.tobytes())])
+
+    return run
+
+
+def fit(payload: DataFrame, answers: DataFrame, rounds: int = 3, states: int = STATES, seed: int = 3) -> tuple[HMM, DataFrame]:
+    """Baum-Welch over all training texts: the model, and the words' weights as rows for the chunks. answers: of _answer."""
     spark = payload.sparkSession
-    kind = sums[0].astype(int)
-    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(tokens, kind, sums[1])
-    np.add.at(distinct, kind, sums[2])
+    n_tokens, n_words, *mass = _sums(answers, 2 + states)
     n_docs = int(payload.mapInArrow(_train_docs, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     rng = np.random.default_rng(seed)
-    prior = 0.5 * np.concatenate([distinct, [1, 1]])[:, None] / states
-    emit = prior + np.concatenate([tokens, [n_docs, 0]])[:, None] / states
-    emit = emit * rng.uniform(0.5, 1.5, (SYMBOLS, states))
+    weight = (0.5 + np.array([[n_docs], [0]])) / states * rng.uniform(0.5, 1.5, (2, states))
     move = np.eye(states) + rng.uniform(0.5, 1.0, (states, states))
-    hmm = HMM(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), tokens, distinct, n_docs, int(tokens.sum()) + n_docs, int(distinct.sum()) + (n_docs > 0))
-    for _ in range(rounds if n_docs else 0):
-        sent = spark.sparkContext.broadcast(hmm)
-
-        def count(batches, sent=sent):
-            h, total = sent.value, None
-            for batch in batches:
-                for blob in pulled(batch, "blob").to_pylist():
-                    z = _unpacked(blob)
-                    got = expected(h, *_sequences(z, z["trained"]))
-                    total = [x + y for x, y in zip(total, got)] if total else list(got)
-            if total:
-                rows = np.concatenate([total[2].ravel(), total[1].ravel(), total[0]])
-                at = np.flatnonzero(rows)
-                blob = np.stack([at, rows[at]]).astype("<f8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([blob], pa.binary())], names=["salt", "blob"])
-
-        at, value = _summed(payload.mapInArrow(count, "salt long, blob binary"), 2, payload.rdd.getNumPartitions())
-        flat = np.zeros(SYMBOLS * states + states * states + states)
-        np.add.at(flat, at.astype(int), value)
-        emit, move, first = np.split(flat, [SYMBOLS * states, SYMBOLS * states + states * states])
-        emit, move, first = emit.reshape(-1, states) + prior, move.reshape(states, states) + 0.5, first + 0.5
-        hmm = HMM(first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), hmm.class_tokens, hmm.class_words, hmm.train_docs, hmm.train_tokens, hmm.distinct)
-        sent.unpersist()
-    return hmm
+    hmm = HMM(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), None, weight, np.array(mass) + weight.sum(axis=0), n_docs, int(n_tokens) + n_docs, int(n_words) + (n_docs > 0))
+    weights = answers.where(F.col("kind") == WEIGHTS)
+    for i in range(rounds if n_docs else 0):
+        sent = cut(payload.unionByName(weights).groupBy("chunk").applyInArrow(_step(hmm), LAID), "expected")
+        if i:
+            discard(weights)
+        release(spark)
+        weights = cut(sent.where(F.col("kind") == SENT).groupBy("shard").applyInArrow(_renew(states), LAID), "weights")
+        first, move, end, words_ = np.split(_sums(sent, states * (states + 3)), np.cumsum([states, states * states, states]))
+        discard(sent)
+        release(spark)
+        first, move = first + 0.5, move.reshape(states, states) + 0.5
+        weight = np.stack([end, np.zeros(states)]) + 0.5 / states
+        hmm = HMM(first / first.sum(), move / move.sum(axis=1, keepdims=True), None, weight, words_ + 0.5 * n_words / states + weight.sum(axis=0), n_docs, hmm.train_tokens, hmm.distinct)
+    return hmm, weights
 
 
 def _train_docs(batches):
@@ -264,42 +316,30 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     train = fold(key, folds) != held
     bits = max(0, (docs.rdd.getNumPartitions() - 1).bit_length())
     laid = cut(chunks(docs, train, text, key, bits), "chunks")
-    payload = laid.where("shard = -1").select("blob")
-    answers = cut(laid.where("shard >= 0").groupBy("shard").applyInArrow(_answer, "chunk long, shard long, blob binary"), "answers")
-
-    def as_floats(batches):
-        for b in batches:
-            got = [np.frombuffer(x, "<i8").astype("<f8").tobytes() for x in pulled(b, "blob").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pulled(b, "shard"), pa.array(got, pa.binary())], names=["salt", "blob"])
-
-    hmm = fit(payload, _summed(answers.where("chunk = -1").mapInArrow(as_floats, "salt long, blob binary"), 3, 1 << bits), rounds, states)
-    sent = spark.sparkContext.broadcast(hmm)
+    payload = laid.where(F.col("kind") == PAYLOAD)
+    answers = cut(laid.where(F.col("kind") == COUNTS).groupBy("shard").applyInArrow(_answer(states, 3), LAID), "answers")
+    release(spark)
+    hmm, weights = fit(payload, answers, rounds, states)
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def judge(table: pa.Table) -> pa.Table:
-        h = sent.value
-        shard = np.array(table.column("shard").to_pylist())
-        order = np.argsort(shard)
-        blobs = table.column("blob").to_pylist()
-        z = _unpacked(blobs[order[0]])
-        count = np.concatenate([np.frombuffer(blobs[i], "<i8") for i in order[1:]] or [np.zeros(0, np.int64)])
+        c = _Chunk(table, hmm)
+        z, count = c.texts, c.count
         keys = pa.ipc.open_stream(pa.py_buffer(z["keys"].tobytes())).read_all().column(0)
         n = len(z["length"])
         row, index = np.repeat(np.arange(n), z["length"]), z["index"]
-        log_base = np.log10((count + 0.5) / (h.train_tokens + 0.5 * (h.distinct + 1)))
-        log_word = np.where(count > 0, np.log10((count + 0.5) / (h.class_tokens[z["kind"]] + 0.5 * np.maximum(h.class_words[z["kind"]], 1))), 0.0)
-        z["kind"] = np.where(count > 0, z["kind"].astype(np.int64), UNKNOWN)
-        end = np.log10((h.train_docs + 0.5) / (h.train_tokens + 0.5 * (h.distinct + 1)))
+        log_base = np.log10((count + 0.5) / (hmm.train_tokens + 0.5 * (hmm.distinct + 1)))
+        end = np.log10((hmm.train_docs + 0.5) / (hmm.train_tokens + 0.5 * (hmm.distinct + 1)))
         add = lambda x: np.bincount(row, weights=x[index], minlength=n)
-        states_score = forward(h, *_sequences(z, np.ones(n, dtype=bool))) / np.log(10)
+        states_score = forward(c.hmm, *c.sequences(np.ones(n, dtype=bool))) / np.log(10)
         return pa.Table.from_arrays(
             [
-                keys, pa.array(~z["trained"]), pa.array(z["length"] + 1), pa.array(add((count > 0).astype(float)).astype(np.int64) + (h.train_docs > 0)), pa.array(np.full(n, h.train_tokens)),
-                pa.array(add(log_base) + end), pa.array(states_score + add(log_word)),
+                keys, pa.array(~z["trained"]), pa.array(z["length"] + 1), pa.array(add((count > 0).astype(float)).astype(np.int64) + (hmm.train_docs > 0)), pa.array(np.full(n, hmm.train_tokens)),
+                pa.array(add(log_base) + end), pa.array(states_score),
             ],
             names=names,
         )
 
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    asked = laid.where("shard = -1").unionByName(answers.where("chunk >= 0"))
+    asked = payload.unionByName(answers.where(F.col("kind") == COUNTS)).unionByName(weights)
     return asked.groupBy("chunk").applyInArrow(judge, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -5,9 +5,11 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
 from sheaf.llm import hidden_markov as H
 from sheaf.llm import queries
+from sheaf.llm.common import utf8, word_hashes
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +91,55 @@ def test_training_raises_the_likelihood_and_one_state_is_the_base(docs):
     assert all(math.isclose(r.score, r.base_score, rel_tol=1e-6) for r in base.values())
     total = lambda rounds: sum(r.score for r in H.score(docs, rounds=rounds).collect() if not r.held_out)
     assert total(6) > total(2)
+
+
+def test_every_word_has_its_own_emissions_over_whole_texts(spark):
+    """Plain Baum-Welch over a dictionary of words, on texts longer than a window and words that share 16 bits of their hash."""
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(names[1000 * (i % 2) : 1000 * (i % 2) + 1000], 3 * H.WINDOW)) for i in range(12)] + ["w1 new w1500", ""]
+    keys = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:12] + [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    train = [tokens(t) for t in texts[:12]]
+    count = Counter(w for t in train for w in t)
+    vocab = sorted(set(count) - {"\n"})
+    raw, off = utf8(pa.array(vocab))
+    h = word_hashes(raw, off[:-1], off[1:])
+    assert len(set((h % np.uint64(1 << 16)).tolist())) < len(vocab)
+
+    k, seed = 2, np.random.default_rng(3)
+    noise = np.stack([H.mix(h + np.uint64(0x9E3779B97F4A7C15 * (4 + j) % (1 << 64))) for j in range(k)], axis=1) / 2.0**64 + 0.5
+    ends = (0.5 + np.array([[12], [0]])) / k * seed.uniform(0.5, 1.5, (2, k))
+    weight = np.concatenate([(np.array([[count[w]] for w in vocab]) + 0.5) / k * noise, ends])
+    move = np.eye(k) + seed.uniform(0.5, 1.0, (k, k))
+    emit, move, first = weight / weight.sum(axis=0), move / move.sum(axis=1, keepdims=True), np.full(k, 1 / k)
+    number = {w: i for i, w in enumerate([*vocab, "\n"])}
+    for _ in range(2):
+        f, m, e = np.full(k, 0.5), np.full((k, k), 0.5), np.full(emit.shape, 0.5 / k)
+        for t in train:
+            s = [number[w] for w in t]
+            a, b = [first * emit[s[0]]], [np.ones(k)]
+            for x in s[1:]:
+                a.append((a[-1] / a[-1].sum()) @ move * emit[x])
+            for x in s[:0:-1]:
+                back = move @ (emit[x] * b[-1])
+                b.append(back / back.sum())
+            post = np.array(a) * np.array(b[::-1])
+            post /= post.sum(axis=1, keepdims=True)
+            f += post[0]
+            for i, x in enumerate(s):
+                e[x] += post[i]
+                if i:
+                    step = a[i - 1][:, None] * move * emit[x] * b[::-1][i]
+                    m += step / step.sum()
+        first, move, emit = f / f.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0)
+    want = {}
+    for key, t in zip(keys, texts):
+        v, total = first, 0.0
+        for i, w in enumerate(tokens(t)):
+            v = (v @ move if i else v) * emit[number.get(w, len(vocab) + 1)]
+            total += math.log10(v.sum())
+            v = v / v.sum()
+        want[key] = total
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in H.score(docs, rounds=2, states=k).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
