@@ -29,6 +29,7 @@ difference is at most H = (100 - p)(n + s) / (100 + p).
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -409,17 +410,19 @@ def _across(probes: DataFrame, indexed: DataFrame, label: DataFrame, percent: in
     return rows.withColumn("bucket", F.pmod("sig", F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "r long, s long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
-    """One row per row: key, n_shingles, component_id, class_id.
+@dataclass
+class _Met:
+    """What the signatures of a table's classes tell: rows and classes, who looks where, and the pairs met first."""
 
-    Texts of the same words are one class, named by its smallest key. Classes
-    whose sets are similar are linked; component_id is the smallest key that links
-    reach. Texts without words (null, empty, blank) have no set and stand alone.
-    Shorter texts than `k` words have one shingle, of all their words. Rows
-    without a key share in the component of their words, if a row with a key has
-    them (else null), but link nothing. Repeated rows give repeated rows. Other
-    columns are not read; an empty table gives no rows.
-    """
+    rows: DataFrame
+    classes: DataFrame
+    met: DataFrame
+    shared: DataFrame
+    probes: DataFrame
+    first: DataFrame
+
+
+def _meet(docs: DataFrame, text: str, key: str, k: int, percent: int, slack: float) -> _Met:
     rows = cut(keys(docs, text, key, k), "keys")
     classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
@@ -441,25 +444,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     twins = classes.groupBy("lo").count().where("count > 1").select(F.col("lo").alias("a"), F.col("lo").alias("b"))
 
     first = cut(_stars(probes, shared).unionByName(twins).distinct(), "stars")
-    links = _verified(first, classes, docs, text, key, k, percent)
-    found = components(links).join(classes.select(F.col("id").alias("node"), "lo"), "node").select("lo", "component")
+    return _Met(rows, classes, met, shared, probes, first)
+
 
+def _rest(x: _Met, found: DataFrame, docs: DataFrame, text: str, k: int, percent: int, slack: float) -> DataFrame:
+    """a, b: the candidates in different components that were not met first. found: lo, component; classes that are not in it stand alone."""
     # What remains: pairs of a signature in different components, the larger set of which looks for the smaller.
     label = (
-        classes.groupBy("lo").agg(F.min("id").alias("own"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("c"), F.first("sketch").alias("sketch"))
+        x.classes.groupBy("lo").agg(F.min("id").alias("own"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("c"), F.first("sketch").alias("sketch"))
         .join(found.groupBy("lo").agg(F.min("component").alias("component")), "lo", "left")
         .select(F.col("lo").alias("key"), "n", F.when(F.col("c") == 1, F.coalesce("component", "own")).alias("component"), "sketch")
     )
-    side = lambda x, c: x.join(label, "key").select("sig", F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_c"))
+    side = lambda y, c: y.join(label, "key").select("sig", F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("component").alias(f"{c}_c"))
     size = f"s_n <= r_n and 100 * s_n >= {percent} * r_n"
-    rest = _across(probes.select("sig", "key"), shared.where("tag >> 40 = 0").select("sig", "key").distinct(), label, percent)
+    rest = _across(x.probes.select("sig", "key"), x.shared.where("tag >> 40 = 0").select("sig", "key").distinct(), label, percent)
 
-    short = met.where("tag >= 0 and (tag & 3) = 2").select("key", "sig").distinct()
-    asked = [x[0] for x in short.select("sig").distinct().collect()]  # as many as a band has segments, at most
+    short = x.met.where("tag >= 0 and (tag & 3) = 2").select("key", "sig").distinct()
+    asked = [y[0] for y in short.select("sig").distinct().collect()]  # as many as a band has segments, at most
     if asked:
         gone = _entries(docs, text, k, percent, slack, asked).select("key", "sig").distinct()
         rest = rest.unionByName(side(short, "r").join(side(gone, "s"), "sig").where(f"coalesce(r_c <> s_c, true) and r <> s and {size}").select("r", "s"))
-    again = rest.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return rest.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(x.first, ["a", "b"], "left_anti")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
+    """One row per row: key, n_shingles, component_id, class_id.
+
+    Texts of the same words are one class, named by its smallest key. Classes
+    whose sets are similar are linked; component_id is the smallest key that links
+    reach. Texts without words (null, empty, blank) have no set and stand alone.
+    Shorter texts than `k` words have one shingle, of all their words. Rows
+    without a key share in the component of their words, if a row with a key has
+    them (else null), but link nothing. Repeated rows give repeated rows. Other
+    columns are not read; an empty table gives no rows.
+    """
+    x = _meet(docs, text, key, k, percent, slack)
+    rows, classes = x.rows, x.classes
+    links = _verified(x.first, classes, docs, text, key, k, percent)
+    found = components(links).join(classes.select(F.col("id").alias("node"), "lo"), "node").select("lo", "component")
+    again = _rest(x, found, docs, text, k, percent, slack)
     more = _verified(again, classes, docs, text, key, k, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -471,6 +494,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     )
 
 
+def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
+    """a, b: every two classes whose sets are similar, by their smallest keys, a < b; each pair once.
+
+    near_duplicates stops at links that hold a component together; here pairs
+    inside a component are verified too, so the output of a group of near copies,
+    and the work on it, grow with the pairs that are similar. Copies are one class
+    and need no link. Classes, nulls and rows without a key are as in near_duplicates.
+    """
+    x = _meet(docs, text, key, k, percent, slack)
+    alone = x.classes.select("lo", F.col("id").alias("component")).limit(0)
+    both = x.first.unionByName(_rest(x, alone, docs, text, k, percent, slack))
+    return _verified(both, x.classes, docs, text, key, k, percent)
+
+
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` whose key is the smallest of its component; of rows that repeat such a key one stays. Rows without a key all stay."""
     found = cut(near_duplicates(docs, text, key, **options).where(F.col(key).isNotNull()).select(F.col(key).alias("__nd_key"), "component_id"), "verdicts")

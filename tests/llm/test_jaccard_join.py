@@ -59,6 +59,30 @@ def test_documents(docs, texts):
     assert got == brute(texts.items())
 
 
+def all_links(rows):
+    first = {}
+    for i, t in sorted((i, t) for i, t in rows if i is not None and (t or "").split()):
+        first.setdefault(" ".join(t.lower().split()), i)
+    sets = {i: J.shingles(t) for t, i in first.items()}
+    return sorted((a, b) for b in sets for a in sets if a < b and J.linked(sets[a], sets[b]))
+
+
+@pytest.mark.parametrize("slack", [1.0, 0.0])
+def test_every_link_is_returned_once(spark, slack):
+    """Also those inside a component: a group of near copies, all similar to each other, among other texts."""
+    text = " ".join(f"c{i}" for i in range(400))
+    near = [(3000 + i, text.replace(f"c{20 * i} ", f"d{i} ")) for i in range(15)] + [(4000, text)]
+    rows = variants(int(slack) + 7) + near + [(2000, ""), (2001, None)]
+    got = sorted((r.a, r.b) for r in J.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), slack=slack).collect())
+    want = all_links(rows)
+    assert got == want and len([x for x in want if x[0] >= 3000]) == 120
+
+
+def test_links_of_documents(docs, texts, odd, empty):
+    assert sorted((r.a, r.b) for r in J.similar_pairs(docs).collect()) == all_links(texts.items())
+    assert J.similar_pairs(odd).count() == J.similar_pairs(empty).count() == 0
+
+
 def test_odd_texts(odd):
     rows = J.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
