@@ -343,13 +343,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
         known: dict = {}
 
         def found(i, hi, t):
-            if (i, hi) not in known:
+            name = str(i), hi
+            if name not in known:
                 if len(known) >= 64:
                     known.clear()
                 w = t.encode("utf-8", "surrogatepass").lower().split()
                 named = int.from_bytes(_name(w)[:8], "little", signed=True) == hi
-                known[i, hi] = shingles(t, k) if named else None  # an id that stands for several texts
-            return known[i, hi]
+                known[name] = shingles(t, k) if named else None  # an id that stands for several texts
+            return known[name]
 
         for batch in batches:
             cols = [pulled(batch, c).to_pylist() for c in ("a_id", "a_hi", "a_text", "b_id", "b_hi", "b_text")]
@@ -509,7 +510,14 @@ def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", k: i
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component; of rows that repeat such a key one stays. Rows without a key all stay."""
+    """The rows of `docs` whose key is the smallest of its component; of rows that repeat such a key one stays. Rows without a key all stay.
+
+    Where a key repeats with different texts, a row is named by its key and its
+    text, so that the texts of one key are as far from each other as any.
+    """
+    if not docs.select(F.col(key).alias("__k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__h")).where("__k is not null").groupBy("__k").agg(F.min("__h").alias("x"), F.max("__h").alias("y")).where("x <> y").isEmpty():
+        name = F.struct(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("text"))
+        return dedup(docs.withColumn("__nd_name", F.when(F.col(key).isNotNull(), name)), text, "__nd_name", **options).drop("__nd_name")
     found = cut(near_duplicates(docs, text, key, **options).where(F.col(key).isNotNull()).select(F.col(key).alias("__nd_key"), "component_id"), "verdicts")
     gone = found.where("__nd_key <> component_id").select("__nd_key").distinct()
     often = cut(found.where("__nd_key = component_id").groupBy("__nd_key").count().where("count > 1").drop("count"), "repeated")

@@ -102,6 +102,15 @@ def test_empty_table_and_dedup(odd, empty):
     assert kept.columns == odd.columns and sorted(x for x in ids if x is not None) == [i for i in range(15) if i not in (9, 10)] and ids.count(None) == 2
 
 
+def test_dedup_of_a_key_with_several_texts(spark):
+    """Texts of one key that are not similar: none goes but for a near copy of a smaller key."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, one), (5, one + " more"), (5, two), (7, three), (7, one + " else"), (7, three), (8, two + " more"), (9, None), (9, three + " end"), (None, two)]
+    got = J.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, one), (5, two), (7, three), (9, None), (None, two)], "doc_id long, text string").collect()))
+
+
 def test_signatures_meet_for_every_similar_pair():
     """Pigeonhole: the units that a set lacks for its evidence never hide a partner."""
     rng = np.random.default_rng(0)
