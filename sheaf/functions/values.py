@@ -115,44 +115,54 @@ def truncated(x: float) -> int:
 
 
 def commas(s: str) -> str:
-    sign, s = ("-", s[1:]) if s.startswith("-") else ("", s)
-    end = next((i for i, c in enumerate(s) if c in ".eE"), len(s))
-    while end > 3:
-        end -= 3
-        s = f"{s[:end]},{s[end:]}"
-    return sign + s
+    """A comma wherever a multiple of three characters lies between a spot and the end of the whole part."""
+    sign, whole, rest = re.match(r"(-?)([^.eE]*)(.*)", s, re.S).groups()
+    return sign + re.sub(r"(?s)(?<=.)(?=(?:...)+\Z)", ",", whole) + rest
 
 
 def parens(s: str) -> str:
     return f"({s[1:]})" if s.startswith("-") else s
 
 
+#: A fractional part below the first shows as one part in 10^9; a convergent within the second is exact.
+NEAR, CLOSE = 1e-9, 1e-10
+
+
+def _convergents(x: float):
+    """(h, k) for the convergents h/k of the continued fraction of x > 0 behind its whole part: h(i) = a(i) h(i-1) + h(i-2), and k likewise."""
+    whole = math.floor(x)
+    (h0, h), (k0, k), rest = (1, whole), (0, 1), x - whole
+    while rest:
+        a, rest = divmod(1 / rest, 1)
+        h0, h = h, int(a) * h + h0
+        k0, k = k, int(a) * k + k0
+        yield h, k
+
+
 def fraction_of(x: float, numerator_digits: int, denominator_digits: int) -> tuple[int, int]:
-    """Continued-fraction approximation; the convergent before the one with too many digits counts."""
-    numerator_digits, denominator_digits = numerator_digits or 2, denominator_digits or 2
-    sign, z = (-1, -x) if x < 0 else (1, x)
-    part = math.modf(x)[0]
-    if part == 0:
-        return int(z) * sign, 1
-    if part < 1e-9:
-        return sign, 10**9
-    most_n, most_d = 10.0**numerator_digits, 10.0**denominator_digits
-    gap, d, n, last_d = 1.0, 1.0, 0.0, 0.0
-    while gap > 1e-10 and z != math.floor(z):
-        z = 1 / (z - math.floor(z))
-        d, last_d, last_n = d * math.floor(z) + last_d, d, n
-        n = math.copysign(math.floor(abs(x * d) + 0.5), x * d)
-        if n >= most_n or d >= most_d:
-            return sign * int(last_n), int(last_d)
-        gap = abs(x - n / d)
-    return sign * int(n), int(d)
+    """The first convergent close to x, or the last whose terms fit their digits (two where none are given); 0/1 if none does.
+
+    Whole numbers stand over one. Negative ones have a fractional part below NEAR.
+    """
+    whole = math.trunc(x)
+    if x == whole:
+        return whole, 1
+    if x - whole < NEAR:
+        return (1 if x > 0 else -1), 10**9
+    found = 0, 1
+    for h, k in _convergents(x):
+        if h >= 10 ** (numerator_digits or 2) or k >= 10 ** (denominator_digits or 2):
+            break
+        found = h, k
+        if abs(x - h / k) <= CLOSE:
+            break
+    return found
 
 
 def whole_and_fraction(x: float, numerator_digits: int, denominator_digits: int) -> tuple[int, int, int]:
-    part, whole = math.modf(x)
-    if part == 0 or math.isnan(x):
-        return truncated(whole), 0, 1
-    return truncated(whole), *fraction_of(abs(part), numerator_digits, denominator_digits)
+    if not math.isfinite(x) or x == math.trunc(x):
+        return truncated(x), 0, 1
+    return truncated(x), *fraction_of(abs(x - math.trunc(x)), numerator_digits, denominator_digits)
 
 
 NOT_NUMERIC = "MUST BE numeric TO FORMAT CORRECTLY"
