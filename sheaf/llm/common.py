@@ -7,10 +7,11 @@ bytes, so texts are handled as UTF-8 without decoding.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import threading
 import uuid
-import zipfile
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from sheaf.deploy import delete, shared_dir, ship
 
 #: Splits a word from the next; the same set as in the contracts.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -30,64 +31,98 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, whatever their PYTHONPATH."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(root)}_src.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sheaf-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write to the shared folder and read again: the lineage ends there, so a lost executor costs no recomputation."""
+# --- lineage cuts ---------------------------------------------------------------
+
+_SCOPES = threading.local()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession):
+    """Within, Spark deletes the shuffle files of each action when it ends: a written table needs them no more."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def cut(df: DataFrame, what: str = "cut", group_bytes: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: the lineage ends there, so a lost executor costs no recomputation.
+
+    `group_bytes`: size of the files' row groups, for wide rows, which a reader takes by the group.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sheaf-{what}-{uuid.uuid4().hex}"
+    path = _named(spark, what)
     schema = df.schema
-    df.write.parquet(path)
+    with _clean_shuffles(spark):
+        _writer(df, group_bytes).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def cut_buckets(df: DataFrame, by: str, buckets: int, what: str = "buckets", group_bytes: int | None = None) -> DataFrame:
+    """As `cut`, but as a table bucketed by a column, so that later joins and groups by that column don't move its rows.
+
+    Rows are written where they are, without a shuffle. The table's entry in the catalog goes at once; its files stay as those of `cut`.
+    """
+    spark = df.sparkSession
+    path = _named(spark, what)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with _clean_shuffles(spark):
+        _writer(df, group_bytes).bucketBy(min(buckets, 100_000), by).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _named(spark: SparkSession, what: str) -> str:
+    path = f"{shared_dir(spark)}/sheaf-{what}-{uuid.uuid4().hex}"
+    if getattr(_SCOPES, "open", None):
+        _SCOPES.open[-1].append(path)
+    return path
+
+
+def _writer(df: DataFrame, group_bytes: int | None):
+    w = df.write
+    return w if group_bytes is None else w.option("parquet.block.size", str(group_bytes)).option("parquet.block.size.row.check.min", "4")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a cut's table, once all that was made of it is itself cut or collected."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
+    for folder in _folders(df):
+        delete(df.sparkSession, folder)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now instead of at some later collection."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
-#: Up to this many narrow rows (some tens of MB) are broadcast to a join, on the strength of a count.
-BROADCAST_ROWS = 500_000
+def tidy(operator: Callable) -> Callable:
+    """When the operator ends, its tables in the shared folder go, but for those that the DataFrame it returns reads.
 
+    Those pass to the operator that called it, if that is tidy too; else they stay, as the result is computed when its owner asks.
+    """
 
-def if_small(narrow: DataFrame) -> DataFrame:
-    """The table marked for broadcast if its count allows; beyond that a join shuffles both sides."""
-    return F.broadcast(narrow) if narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else narrow
+    @wraps(operator)
+    def run(*args, **kwargs):
+        scopes = _SCOPES.open = getattr(_SCOPES, "open", None) or []
+        scopes.append([])
+        kept: set[str] = set()
+        try:
+            out = operator(*args, **kwargs)
+            kept = {f.rsplit("/", 1)[1] for f in _folders(out)} if isinstance(out, DataFrame) else kept
+        finally:
+            spark = SparkSession.getActiveSession()
+            for path in scopes.pop():
+                if path.rsplit("/", 1)[1] not in kept:
+                    delete(spark, path)
+                elif scopes:
+                    scopes[-1].append(path)
+        return out
+
+    return run
 
 
 def fold(col: str, modulus: int):
@@ -204,5 +239,33 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix(h)
 
 
+def runs(raw: np.ndarray, off: np.ndarray, most: int = 1 << 20):
+    """Start and end of runs of about `most` bytes that split no word: long texts are worked on piece by piece. A longer word stands whole."""
+    at, n = 0, len(raw)
+    while at < n:
+        to = min(at + most, n)
+        if to < n:
+            text_end = int(off[np.searchsorted(off, to)])
+            while to < text_end:
+                space = np.flatnonzero(_IS_SPACE[raw[to : min(to + (1 << 16), text_end)]])
+                if len(space):
+                    to += int(space[0])
+                    break
+                to = min(to + (1 << 16), text_end)
+        yield at, to
+        at = to
+
+
+def hashed_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, by runs: temporaries don't grow with a text."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for at, to in runs(raw, off):
+        first = int(np.searchsorted(off, at, "right")) - 1
+        part = np.clip(off[first : int(np.searchsorted(off, to, "left")) + 1], at, to) - at
+        s, e, row = words(raw[at:to], part)
+        out.append((word_hashes(raw[at:to], s, e, lower), row + first))
+    return np.concatenate([h for h, _ in out]), np.concatenate([r for _, r in out])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

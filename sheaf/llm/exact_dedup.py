@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import SPACE_CLASS, cut, if_small
+from sheaf.llm.chunked import chosen, lay
+from sheaf.llm.common import SPACE_CLASS, cut, tidy
 
 #: Names no input column may clash with: everything internal is prefixed.
 P = "__xd_"
@@ -74,19 +75,17 @@ def _columns(found: DataFrame, key: str) -> DataFrame:
     )
 
 
+@tidy
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 16) -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    A row is named by its key and its text; of rows that repeat both, one stays.
-    Rows without a key never win against one that has a key, and count as one.
+    A row is named by its key and the digest of its text; of rows that repeat
+    both, one stays. Rows without a key never win against one that has a key, and
+    count as one. Whole rows lie in chunks; only names are joined.
     """
-    groups = cut(exact_groups(docs, text, key, salts).select(F.col(key).alias(f"{P}key"), F.col("text_sha256").alias(f"{P}digest"), "kept"), "verdicts")
-    named = docs.withColumn(f"{P}own", digest(normalised(F.col(text))))
-    same = F.col(key).eqNullSafe(F.col(f"{P}key")) & (F.col(f"{P}own") == F.col(f"{P}digest"))
-    # Fewer rows go than stay: their names are sent to the texts, as long as a count allows.
-    gone = groups.where("not kept").drop("kept").distinct()
-    often = cut(groups.where("kept").groupBy(f"{P}key", f"{P}digest").count().where("count > 1").drop("count"), "repeated")
-    if often.isEmpty():
-        return named.join(if_small(gone), same, "left_anti").drop(f"{P}own")
-    stay = named.join(if_small(gone.unionByName(often)), same, "left_anti")
-    return stay.unionByName(named.join(if_small(often), same, "left_semi").dropDuplicates([key, f"{P}own"])).drop(f"{P}own")
+    named = docs.withColumn(f"{P}name", F.struct(F.col(key).alias("key"), digest(normalised(F.col(text))).alias("digest")))
+    chunks = lay(named, f"{P}name", text)
+    stay = exact_groups(docs, text, key, salts).where("kept").select(F.col(key).alias("k"), F.col("text_sha256").alias("d")).distinct()
+    names = chunks.names.groupBy("key").agg(F.min(F.struct("chunk", "place")).alias("at"))
+    which = names.join(stay, F.col("key.key").eqNullSafe(F.col("k")) & (F.col("key.digest") == F.col("d")), "left_semi").select("at.*")
+    return chosen(chunks, which).drop(f"{P}name")

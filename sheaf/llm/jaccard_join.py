@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import _LOWER, cut, if_small, mix, pulled, release, ship, signed, slices, utf8, word_hashes, words
+from sheaf.llm.chunked import Chunks, chosen, lay
+from sheaf.llm.common import _LOWER, cut, hashed_words, mix, pulled, ship, signed, slices, tidy, utf8
 from sheaf.llm.components import components
 
 WORDS = 5
@@ -50,8 +51,7 @@ PERCENT = 80
 def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text: row and 64-bit hash, rows in order. Texts of 1 to k - 1 words have one, of all their words."""
     n = len(off) - 1
-    starts, ends, row = words(raw, off)
-    h = word_hashes(raw, starts, ends)
+    h, row = hashed_words(raw, off)
     count = np.bincount(row, minlength=n)
     m = max(0, len(h) - k + 1)
     same = row[:m] == row[k - 1 : k - 1 + m]
@@ -103,23 +103,26 @@ def _name(words_: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words_), digest_size=16).digest()
 
 
-def keys(docs: DataFrame, text: str, key: str, k: int = WORDS) -> DataFrame:
-    """id, hi, lo, n_shingles, sketch. hi and lo: 128 bits that name the lower-cased word sequence; null without words."""
-    ship(docs.sparkSession)
+def keys(chunks: Chunks, k: int = WORDS) -> DataFrame:
+    """chunk, place, id, hi, lo, n_shingles, sketch of every row. hi and lo: 128 bits that name the lower-cased word sequence; null without words."""
 
-    def run(batches):
-        for b in slices(batches, "__text"):
-            raw, off = utf8(pulled(b, "__text"))
-            rows, g = shingle_hashes(raw, off, k)
-            n = np.bincount(rows, minlength=b.num_rows)
+    def run(name, rows: pa.RecordBatch) -> pa.Table:
+        out, at = [], 0
+        for b in slices([rows], "c1", 2 << 20):
+            raw, off = utf8(pulled(b, "c1"))
+            row, g = shingle_hashes(raw, off, k)
+            n = np.bincount(row, minlength=b.num_rows)
             low = _LOWER[raw].tobytes()
             names = [_name(low[off[i] : off[i + 1]].split()) for i in range(b.num_rows)]
             pair = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
             none = n == 0
-            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(pair[:, 0].copy(), mask=none), pa.array(pair[:, 1].copy(), mask=none), pa.array(n), pa.array(sketches(rows, g, b.num_rows), pa.binary())], names=["id", "hi", "lo", "n_shingles", "sketch"])
+            places = pa.array(np.arange(at, at + b.num_rows, dtype=np.int32))
+            at += b.num_rows
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, name)), places, pulled(b, "c0"), pa.array(pair[:, 0].copy(), mask=none), pa.array(pair[:, 1].copy(), mask=none), pa.array(n), pa.array(sketches(row, g, b.num_rows), pa.binary())], names=columns))
+        return pa.Table.from_batches(out)
 
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"id {rows.schema['__key'].dataType.simpleString()}, hi long, lo long, n_shingles long, sketch binary")
+    columns = ["chunk", "place", "id", "hi", "lo", "n_shingles", "sketch"]
+    return chunks.each(run, f"chunk long, place int, id {chunks.fields['c0'].dataType.simpleString()}, hi long, lo long, n_shingles long, sketch binary")
 
 
 # --- bands and their segments ----------------------------------------------------
@@ -329,37 +332,32 @@ def _stars(probes: DataFrame, shared: DataFrame) -> DataFrame:
     return probes.join(central, "sig", "left").select("key", partner.alias("partner")).select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """a, b: representatives of the classes of candidate keys whose texts are similar."""
-    side = lambda c: classes.select(F.col("lo").alias(c), F.col("id").alias(f"{c}_id"), F.col("hi").alias(f"{c}_hi"), F.col("n_shingles").alias(f"{c}_n"))
+def _verified(pairs: DataFrame, classes: DataFrame, chunks: Chunks, k: int, percent: int) -> DataFrame:
+    """a, b: representatives of the classes of candidate keys whose texts are similar.
+
+    A class is verified by the text of one row, named by its chunk and place. A
+    text is sent once for each block of pairs of which it is the first.
+    """
+    side = lambda c: classes.select(F.col("lo").alias(c), *[F.col(x).alias(f"{c}_{y}") for x, y in (("id", "id"), ("at", "at"), ("n_shingles", "n"))])
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(f"a_id <> b_id and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    close = cut(close.select(*[F.expr(f"if(a_id < b_id, {x}_{c}, {y}_{c})").alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("id", "hi")]).distinct(), "candidates")
-    needed = close.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
-    texts = cut(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(if_small(needed), "id", "left_semi"), "texts")
-    release(docs.sparkSession)
-    full = close.join(texts.toDF("a_id", "a_text"), "a_id").join(texts.toDF("b_id", "b_text"), "b_id")
-
-    def check(batches):
-        known: dict = {}
-
-        def found(i, hi, t):
-            name = str(i), hi
-            if name not in known:
-                if len(known) >= 64:
-                    known.clear()
-                w = t.encode("utf-8", "surrogatepass").lower().split()
-                named = int.from_bytes(_name(w)[:8], "little", signed=True) == hi
-                known[name] = shingles(t, k) if named else None  # an id that stands for several texts
-            return known[name]
-
-        for batch in batches:
-            cols = [pulled(batch, c).to_pylist() for c in ("a_id", "a_hi", "a_text", "b_id", "b_hi", "b_text")]
-            out = [(a, b) for a, ah, at, b, bh, bt in zip(*cols) if (x := found(a, ah, at)) and (y := found(b, bh, bt)) and linked(x, y, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], batch.schema.field(n).type) for i, n in enumerate(("a_id", "b_id"))], names=["a", "b"])
+    close = cut(close.select(*[F.expr(f"if(a_id < b_id, {x}_{c}, {y}_{c})").alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("id", "at")]).distinct(), "candidates")
+    needed = close.select(F.explode(F.array("a_at", "b_at")).alias("at")).distinct().select("at.*")
+    texts = cut(chosen(chunks, needed, named=True).toDF("chunk", "place", "id", "text").select(F.struct("chunk", "place").alias("at"), "text"), "texts")
+    # Blocks of some 64 pairs with one first text, however many pairs that has.
+    counts = close.groupBy("a_at").agg(F.count(F.lit(1)).alias("c"))
+    blocks = close.join(counts, "a_at").withColumn("block", F.expr("pmod(xxhash64(b_at), cast(ceil(c / 64.0) as bigint))"))
+    seconds = blocks.join(texts.toDF("b_at", "b_text"), "b_at").select("a_at", "block", "a_id", "b_id", "b_text")
+    firsts = blocks.select("a_at", "block").distinct().join(texts.toDF("a_at", "a_text"), "a_at")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        first = shingles(left.column("a_text")[0].as_py(), k)
+        ok = [linked(first, shingles(t.as_py(), k), percent) for t in right.column("b_text")]
+        found = right.select(["a_id", "b_id"]).filter(pa.array(ok, pa.bool_()))
+        return found.rename_columns(["a", "b"])
 
     kind = close.schema["a_id"].dataType.simpleString()
-    columns = ["a_id", "a_hi", "a_text", "b_id", "b_hi", "b_text"]
-    return cut(full.select(*columns).mapInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
+    grouped = firsts.groupBy("a_at", "block").cogroup(seconds.groupBy("a_at", "block"))
+    return cut(grouped.applyInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
 
 
 def close_pairs(sig, key, component, n, sketch, probe, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -415,6 +413,7 @@ def _across(probes: DataFrame, indexed: DataFrame, label: DataFrame, percent: in
 class _Met:
     """What the signatures of a table's classes tell: rows and classes, who looks where, and the pairs met first."""
 
+    chunks: Chunks
     rows: DataFrame
     classes: DataFrame
     met: DataFrame
@@ -424,8 +423,12 @@ class _Met:
 
 
 def _meet(docs: DataFrame, text: str, key: str, k: int, percent: int, slack: float) -> _Met:
-    rows = cut(keys(docs, text, key, k), "keys")
-    classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    chunks = lay(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text")
+    rows = cut(keys(chunks, k), "keys")
+    # Of a class, the smallest key names it and one row of that key lends its text.
+    best = F.min(F.struct(F.col("id").isNull(), "id", "chunk", "place")).alias("best")
+    classes = rows.where("n_shingles > 0").groupBy("hi", "lo").agg(best, F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.select("hi", "lo", "best.id", F.struct("best.chunk", "best.place").alias("at"), "n_shingles", "sketch"), "classes")
 
     entries = _entries(docs, text, k, percent, slack)
     meeting = Window.partitionBy("sig")
@@ -437,7 +440,6 @@ def _meet(docs: DataFrame, text: str, key: str, k: int, percent: int, slack: flo
         .where("tag < 0 or pivot <> other or (tag & 3) = 2"),
         "met",
     )
-    release(docs.sparkSession)
     told = F.expr("-1 - tag")
     stats = met.where("tag < 0").select("key", told.bitwiseAND(F.lit(3)).alias("below"), F.expr("((-1 - tag) >> 2) & ((1L << 30) - 1)").alias("need"), F.expr("(-1 - tag) >> 32").alias("units")).distinct()
     shared = met.where("tag >= 0 and (tag & 3) <> 2")
@@ -445,7 +447,7 @@ def _meet(docs: DataFrame, text: str, key: str, k: int, percent: int, slack: flo
     twins = classes.groupBy("lo").count().where("count > 1").select(F.col("lo").alias("a"), F.col("lo").alias("b"))
 
     first = cut(_stars(probes, shared).unionByName(twins).distinct(), "stars")
-    return _Met(rows, classes, met, shared, probes, first)
+    return _Met(chunks, rows, classes, met, shared, probes, first)
 
 
 def _rest(x: _Met, found: DataFrame, docs: DataFrame, text: str, k: int, percent: int, slack: float) -> DataFrame:
@@ -468,6 +470,7 @@ def _rest(x: _Met, found: DataFrame, docs: DataFrame, text: str, k: int, percent
     return rest.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(x.first, ["a", "b"], "left_anti")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
     """One row per row: key, n_shingles, component_id, class_id.
 
@@ -481,20 +484,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     """
     x = _meet(docs, text, key, k, percent, slack)
     rows, classes = x.rows, x.classes
-    links = _verified(x.first, classes, docs, text, key, k, percent)
+    links = _verified(x.first, classes, x.chunks, k, percent)
     found = components(links).join(classes.select(F.col("id").alias("node"), "lo"), "node").select("lo", "component")
     again = _rest(x, found, docs, text, k, percent, slack)
-    more = _verified(again, classes, docs, text, key, k, percent)
+    more = _verified(again, classes, x.chunks, k, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
     whole = components(links)
     named = classes.join(whole, F.col("id") == F.col("node"), "left").select("hi", "lo", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.drop("sketch").join(named, ["hi", "lo"], "left")
+    out = rows.select("id", "hi", "lo", "n_shingles").join(named, ["hi", "lo"], "left")
     return out.select(
         F.col("id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("class_id", "id").alias("class_id")
     )
 
 
+@tidy
 def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, slack: float = 1.0) -> DataFrame:
     """a, b: every two classes whose sets are similar, by their smallest keys, a < b; each pair once.
 
@@ -506,9 +510,10 @@ def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", k: i
     x = _meet(docs, text, key, k, percent, slack)
     alone = x.classes.select("lo", F.col("id").alias("component")).limit(0)
     both = x.first.unionByName(_rest(x, alone, docs, text, k, percent, slack))
-    return _verified(both, x.classes, docs, text, key, k, percent)
+    return _verified(both, x.classes, x.chunks, k, percent)
 
 
+@tidy
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` whose key is the smallest of its component; of rows that repeat such a key one stays. Rows without a key all stay.
 
@@ -518,10 +523,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -
     if not docs.select(F.col(key).alias("__k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__h")).where("__k is not null").groupBy("__k").agg(F.min("__h").alias("x"), F.max("__h").alias("y")).where("x <> y").isEmpty():
         name = F.struct(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("text"))
         return dedup(docs.withColumn("__nd_name", F.when(F.col(key).isNotNull(), name)), text, "__nd_name", **options).drop("__nd_name")
-    found = cut(near_duplicates(docs, text, key, **options).where(F.col(key).isNotNull()).select(F.col(key).alias("__nd_key"), "component_id"), "verdicts")
-    gone = found.where("__nd_key <> component_id").select("__nd_key").distinct()
-    often = cut(found.where("__nd_key = component_id").groupBy("__nd_key").count().where("count > 1").drop("count"), "repeated")
-    same = F.col(key) == F.col("__nd_key")
-    if often.isEmpty():
-        return docs.join(if_small(gone), same, "left_anti")
-    return docs.join(if_small(gone.unionByName(often)), same, "left_anti").unionByName(docs.join(if_small(often), same, "left_semi").dropDuplicates([key]))
+    found = near_duplicates(docs, text, key, **options).select(F.col(key).alias("k"), "component_id")
+    stay = cut(found.where("k = component_id").select("k").distinct(), "verdicts")
+    chunks = lay(docs, key, text)
+    names = chunks.names
+    one = names.where("key is not null").groupBy("key").agg(F.min(F.struct("chunk", "place")).alias("at"))
+    which = one.join(stay, F.col("key") == F.col("k"), "left_semi").select("at.*").unionByName(names.where("key is null").select("chunk", "place"))
+    return chosen(chunks, which)

@@ -57,8 +57,9 @@ def paths(h, seq):
         yield path, p
 
 
-def test_forward_is_the_sum_over_all_paths():
-    h, length = small(), np.array([4, 1, 5, 2])
+def test_forward_is_the_sum_over_all_paths(monkeypatch):
+    monkeypatch.setattr(H, "SEGMENT", 2)
+    h, length = small(), np.array([4, 1, 5, 2, 7])
     seq = np.random.default_rng(1).integers(0, 5, length.sum())
     got, at = H.forward(h, seq, length), 0
     for n, x in zip(length, got):
@@ -67,12 +68,13 @@ def test_forward_is_the_sum_over_all_paths():
 
 
 def test_expected_counts_are_those_of_all_paths(monkeypatch):
-    monkeypatch.setattr(H, "WINDOW", 4)
-    h, length = small(2), np.array([4, 3, 6])
+    monkeypatch.setattr(H, "SEGMENT", 4)
+    monkeypatch.setattr(H, "BLOCK", 6)
+    h, length = small(2), np.array([4, 3, 6, 9])
     seq = np.random.default_rng(3).integers(0, 5, length.sum())
     first, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
     at = 0
-    for n in (4, 3, 4, 2):  # the last text falls into windows
+    for n in (4, 3, 6, 9):  # some texts fall into segments, but count as a whole
         part = seq[at : at + n]
         total = sum(p for _, p in paths(h, part))
         for path, p in paths(h, part):
@@ -94,10 +96,10 @@ def test_training_raises_the_likelihood_and_one_state_is_the_base(docs):
 
 
 def test_every_word_has_its_own_emissions_over_whole_texts(spark):
-    """Plain Baum-Welch over a dictionary of words, on texts longer than a window and words that share 16 bits of their hash."""
+    """Plain Baum-Welch over a dictionary of words, on texts longer than a segment and words that share 16 bits of their hash."""
     rng = np.random.default_rng(5)
     names = [f"w{i}" for i in range(2000)]
-    texts = [" ".join(rng.choice(names[1000 * (i % 2) : 1000 * (i % 2) + 1000], 3 * H.WINDOW)) for i in range(12)] + ["w1 new w1500", ""]
+    texts = [" ".join(rng.choice(names[1000 * (i % 2) : 1000 * (i % 2) + 1000], 3 * H.SEGMENT)) for i in range(12)] + ["w1 new w1500", ""]
     keys = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:12] + [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     train = [tokens(t) for t in texts[:12]]
     count = Counter(w for t in train for w in t)
