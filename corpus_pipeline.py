@@ -2,49 +2,42 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of the documents.
+columns of the documents, others that a table may have included. An empty table
+gives an empty table. How a stage treats nulls, ties and very long texts is its
+operator's affair, and stands there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sheaf.llm import exact_dedup, jaccard_join, language_id, packing, quality_lm
-from sheaf.llm.common import cut
+from sheaf.llm.common import cut, discard, tidy
 from sheaf.llm.queries import table, tokenizer_path
 
 
-def _with_record(docs: DataFrame) -> DataFrame:
-    """Every row also as one struct, to be handed on whole."""
-    return docs.withColumn("__record", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity lies within the bounds of their language."""
-    judged = quality_lm.classify(_with_record(docs), table(spark, sf_dir, "labels"), record="__record")
-    return judged.where("kept").select("__record.*")
+    """Documents whose perplexity lies within the bounds of their language. Null and empty texts go; repeated rows stay."""
+    return quality_lm.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told without ambiguity."""
-    model = language_id.fit(docs)
-    said = language_id.identify(_with_record(docs), model, key="__record")
-    return said.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select("__record.*")
+    """Documents in a language that can be told without ambiguity. Texts without a letter go; repeated rows stay."""
+    return language_id.keep(docs, language_id.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; a null text equals an empty one, and of repeated rows one stays."""
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates. Texts without words and rows without a key stay."""
     return jaccard_join.dedup(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in their sequences."""
+    """The pieces of the remaining documents in their sequences; a text without tokens is its end id alone."""
     packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), window=1024)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -55,8 +48,11 @@ STAGES = [("quality_classifier", quality), ("language_id", language), ("exact_de
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
