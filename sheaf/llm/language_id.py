@@ -101,12 +101,14 @@ def has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, seed: int = 7) -> Coded:
     """Fit on `per_language` labelled rows at most of each language. Null languages, null texts and blank texts teach nothing.
 
-    Ties of the hash go by key. With no labelled row the model has no language and predicts `und` for all.
+    Ties of the hash go by key. Rows of one language and key count once, with the
+    text that sorts first. With no labelled row the model has no language and predicts `und` for all.
     """
     ship(docs.sparkSession)
-    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
-    picked = smallest_hashes(named.select(F.col(lang).alias("__lang"), F.col(key).alias("__key")), "__lang", "__key", per_language, seed)
-    sample = named.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(picked), ["__lang", "__key"], "left_semi")
+    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN)).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    picked = smallest_hashes(named.select("__lang", "__key"), "__lang", "__key", per_language, seed)
+    met = named.join(F.broadcast(picked.distinct()), named["__lang"].eqNullSafe(picked["__lang"]) & named["__key"].eqNullSafe(picked["__key"]), "left_semi")
+    sample = met.groupBy("__lang", "__key").agg(F.min("__text").alias("__text"))  # rows that repeat a key are one
 
     def sparse(batches):
         for b in slices(batches, "__text"):
@@ -123,13 +125,28 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     rows = sorted(sample.mapInArrow(sparse, "lang string, key string, cells binary, values binary").collect(), key=lambda r: (r.lang, r.key))
     languages = sorted({r.lang for r in rows})
-    x = np.zeros((len(rows), DIMS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["cells"], np.uint16)] = np.frombuffer(r["values"], np.float16)
-    return _fit(x, np.array([languages.index(r.lang) for r in rows], dtype=int), languages)
+    return _fit(_Rows([(np.frombuffer(r["cells"], np.uint16), np.frombuffer(r["values"], np.float16)) for r in rows]), np.array([languages.index(r.lang) for r in rows], dtype=int), languages)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 150) -> Coded:
+class _Rows:
+    """Sparse rows, dense some thousands at a time; one such block is kept."""
+
+    def __init__(self, cells: list[tuple[np.ndarray, np.ndarray]], most: int = 4096):
+        self.cells, self.most, self.kept = cells, most, None
+
+    def blocks(self):
+        """(first row, dense rows)."""
+        for lo in range(0, len(self.cells), self.most):
+            if lo or self.kept is None:
+                some = self.cells[lo : lo + self.most]
+                x = np.zeros((len(some), DIMS), dtype=np.float32)
+                for i, (c, v) in enumerate(some):
+                    x[i, c] = v
+                self.kept = self.kept if lo else x
+            yield lo, x if lo else self.kept
+
+
+def _fit(rows: _Rows, y: np.ndarray, languages: list[str], rounds: int = 150) -> Coded:
     codes = codebook(len(languages))
     bits = codes.shape[1] if len(languages) else 0
     w, b = np.zeros((DIMS, bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
@@ -140,11 +157,16 @@ def _fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 150)
     even = (len(y) / (len(languages) * share)).astype(np.float32)[:, None]
     step, speed_w, speed_b = np.float32(20.0), np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
-        pull = even * target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
-        speed_w = np.float32(0.9) * speed_w + x.T @ pull / len(y) - np.float32(1e-5) * w
-        speed_b = np.float32(0.9) * speed_b + pull.mean(axis=0)
+        slope_w, slope_b = np.zeros_like(w), np.zeros_like(b)
+        for lo, x in rows.blocks():
+            some = slice(lo, lo + len(x))
+            pull = even[some] * target[some] / (1 + np.exp(np.clip(target[some] * (x @ w + b), -30, 30)))
+            slope_w += x.T @ pull
+            slope_b += pull.sum(axis=0)
+        speed_w = np.float32(0.9) * speed_w + slope_w / len(y) - np.float32(1e-5) * w
+        speed_b = np.float32(0.9) * speed_b + slope_b / len(y)
         w, b = w + step * speed_w, b + step * np.float32(0.1) * speed_b
-    right = (np.sign(x @ w + b) == target).mean(axis=0)
+    right = np.sum([(np.sign(x @ w + b) == target[lo : lo + len(x)]).sum(axis=0) for lo, x in rows.blocks()], axis=0) / len(y)
     return Coded(languages, codes, w, b, np.maximum(right - 0.5, 0.01) * 2)
 
 
@@ -159,35 +181,54 @@ def decode(model: Coded, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, 1 / part.sum(axis=1), lead
 
 
+def _told(model: Coded, texts: pa.Array, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text, 256 at a time: DIMS counters a row are a bounded matrix, however short the texts."""
+    names = np.array([*model.languages, UNKNOWN], dtype=object)
+    out = []
+    for at in range(0, len(texts), 256):
+        raw, off = utf8(texts.slice(at, 256))
+        said = has_letter(raw, off)
+        if model.languages:
+            best, score, lead = decode(model, features(raw, off) @ model.weights + model.bias)
+        else:
+            best, score, lead, said = np.zeros(len(said), int), np.zeros(len(said)), np.full(len(said), np.inf), said & False
+        out.append((names[np.where(said, best, len(names) - 1)], np.where(said, score, 0.0).astype(float), said & (lead < near)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def identify(docs: DataFrame, model: Coded, text: str = "text", key: str = "doc_id", near: float = 1.0) -> DataFrame:
     """One row per row: key, lang_pred, score (0 to 1), ambiguous.
 
     Null texts and texts without a letter are `und` with score 0, not ambiguous.
     Equal distances go to the language that sorts first, and are ambiguous.
-    Repeated rows give repeated rows; other columns are not read.
+    Repeated rows give repeated rows; other columns are not read; an empty table
+    gives no rows. A long text is read in pieces; only its bytes are held.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches):
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
         for b in slices(batches, "__text", 2 << 20):
-            for at in range(0, b.num_rows, 256):  # DIMS counters a row: a bounded matrix, however short the texts
-                part = b.slice(at, 256)
-                raw, off = utf8(pulled(part, "__text"))
-                said = has_letter(raw, off)
-                if m.languages:
-                    best, score, lead = decode(m, features(raw, off) @ m.weights + m.bias)
-                else:
-                    best, score, lead, said = np.zeros(len(said), int), np.zeros(len(said)), np.full(len(said), np.inf), said & False
-                best = np.where(said, best, len(names) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pulled(part, "__key"), pa.array(names[best], pa.string()), pa.array(np.where(said, score, 0.0).astype(float)), pa.array(said & (lead < near))],
-                    names=[key, "lang_pred", "score", "ambiguous"],
-                )
+            said, score, doubt = _told(shared.value, pulled(b, "__text"), near)
+            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(said, pa.string()), pa.array(score), pa.array(doubt)], names=[key, "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     out = T.StructType([T.StructField(key, rows.schema["__key"].dataType), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
     return rows.mapInArrow(predict, out)
+
+
+def keep(docs: DataFrame, model: Coded, text: str = "text", near: float = 1.0) -> DataFrame:
+    """The rows of `docs`, all columns, whose language `identify` tells without ambiguity."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = f"c{docs.columns.index(text)}"  # columns go by their position, so no name clashes
+
+    def choose(batches):
+        for b in slices(batches, at, 2 << 20):
+            said, _, doubt = _told(shared.value, pulled(b, at), near)
+            yield b.filter(pa.array((said != UNKNOWN) & ~doubt))
+
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows.mapInArrow(choose, rows.schema).toDF(*docs.columns)
