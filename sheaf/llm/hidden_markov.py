@@ -38,7 +38,7 @@ from sheaf.llm.common import cut, cut_buckets, discard, fold, hashed_words, mix,
 SYMBOLS = 8  # rows that an emission table has at least; a chunk's has one for each of its words, the end and the unknown
 STATES = 4
 SEGMENT = 512  # tokens of a text that are worked on one after the other
-BLOCK = 1 << 18  # tokens that are worked on side by side
+BLOCK = 1 << 17  # tokens that are worked on side by side
 SHARD_WORDS = 1 << 19  # words of chunks that meet in a shard, on average
 ASK_WORDS = 1 << 15  # words in a piece of a chunk's question
 PAYLOAD, ASK, COUNTS, WEIGHTS, SENT, STATS = range(6)  # what a row holds
@@ -119,20 +119,25 @@ def chunks(docs: DataFrame, train, text: str, key: str, chunk_bytes: int = 32 <<
 
     def run(batches):
         for name, b in numbered(batches, "__text", chunk_bytes):
-            hashes, lengths = [], []
-            for part in slices([b], "__text", 1 << 20):
-                h, row = hashed_words(*utf8(pulled(part, "__text")))
-                hashes.append(h)
-                lengths.append(np.bincount(row, minlength=part.num_rows))
-            h, length = np.concatenate(hashes), np.concatenate(lengths).astype(np.int64)
             trained = pulled(b, "__train").to_numpy(zero_copy_only=False).astype(bool)
-            u, inverse = np.unique(h, return_inverse=True)
-            count = np.bincount(inverse, weights=np.repeat(trained, length), minlength=len(u)).astype(np.int64)
+            length, met, index, counts, at = np.zeros(b.num_rows, np.int64), [np.zeros(0, np.uint64)], [], [np.zeros(0)], 0
+            for part in slices([b], "__text", 1 << 20):  # distinct words part by part, then of the parts
+                h, row = hashed_words(*utf8(pulled(part, "__text")))
+                length[at : at + part.num_rows] = np.bincount(row, minlength=part.num_rows)
+                u, inverse = np.unique(h, return_inverse=True)
+                counts.append(np.bincount(inverse, weights=trained[at + row], minlength=len(u)))
+                met.append(u)
+                index.append(inverse.astype(np.uint32))
+                at += part.num_rows
+            u, inverse = np.unique(np.concatenate(met), return_inverse=True)
+            count = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+            ends = np.cumsum([len(x) for x in met])
+            index = np.concatenate([np.zeros(0, np.uint32), *(inverse[lo:hi].astype(np.uint32)[x] for lo, hi, x in zip(ends, ends[1:], index))])
             keys = b.select(["__key"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema) as w:
                 w.write_batch(keys)
-            blob = _packed(keys=np.frombuffer(sink.getvalue(), np.uint8), trained=trained, length=length, index=inverse.astype(np.uint32), words=np.array([len(u)]))
+            blob = _packed(keys=np.frombuffer(sink.getvalue(), np.uint8), trained=trained, length=length, index=index, words=np.array([len(u)]))
             rows = [(name, PAYLOAD, 0, i, x) for i, x in enumerate(pieces(blob))]
             for i in range(0, len(u), ASK_WORDS):
                 part = slice(i, i + ASK_WORDS)
