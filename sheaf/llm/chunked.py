@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +120,7 @@ def chosen(chunks: Chunks, which: DataFrame, named: bool = False) -> DataFrame:
     at = [T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType())] if named else []
 
     def run(name, rows: pa.RecordBatch, right: pa.Table) -> pa.Table:
-        place = pc.sort(right.column("place")).combine_chunks() if len(right) else pa.array([], pa.int32())
+        place = pa.array(np.sort(right.column("place").to_numpy()), pa.int32())
         got = pa.Table.from_batches([rows]).take(place)
         return pa.Table.from_arrays([pa.array([name] * len(place), pa.int64()), place, *got.columns], names=["chunk", "place", *got.column_names]) if named else got
 

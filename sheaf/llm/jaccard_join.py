@@ -347,7 +347,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, chunks: Chunks, k: int, perc
     counts = close.groupBy("a_at").agg(F.count(F.lit(1)).alias("c"))
     blocks = close.join(counts, "a_at").withColumn("block", F.expr("pmod(xxhash64(b_at), cast(ceil(c / 64.0) as bigint))"))
     seconds = blocks.join(texts.toDF("b_at", "b_text"), "b_at").select("a_at", "block", "a_id", "b_id", "b_text")
-    firsts = blocks.select("a_at", "block").distinct().join(texts.toDF("a_at", "a_text"), "a_at")
+    firsts = blocks.select("a_at", "block").distinct().toDF("f_at", "f_block").join(texts.toDF("f_at", "a_text"), "f_at")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         first = shingles(left.column("a_text")[0].as_py(), k)
@@ -356,7 +356,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, chunks: Chunks, k: int, perc
         return found.rename_columns(["a", "b"])
 
     kind = close.schema["a_id"].dataType.simpleString()
-    grouped = firsts.groupBy("a_at", "block").cogroup(seconds.groupBy("a_at", "block"))
+    grouped = firsts.groupBy("f_at", "f_block").cogroup(seconds.groupBy("a_at", "block"))
     return cut(grouped.applyInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
 
 

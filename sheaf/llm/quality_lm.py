@@ -17,6 +17,7 @@ same at every size.
 from __future__ import annotations
 
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -230,7 +231,12 @@ def _judged(chunks: Chunks, labels: DataFrame, text: str, key: str, lang: str, t
     known = scored.where(F.col("nll").isNotNull() & (F.col("chars") >= short)).join(trusted.where("held"), ["chunk", "place"], "left_semi")
     at = F.percentile_approx("nll", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)), 10000).alias("q")
     each = cut(known.where("lang is not null").groupBy("lang").agg(at, F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).drop("c"), "bounds")
-    whole = known.agg(at).first()[0] or [None] * 3
+    # Fewer documents than `least` in all: their outermost lie inside the quantiles, by the share that a normal sample's would.
+    q_all, n = known.agg(at, F.count(F.lit(1))).first()
+    whole = [None] * 3
+    if n:
+        reach = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(n / (n + 1)) if n > 1 else 1.0
+        whole = [q_all[1] + (x - q_all[1]) * max(1.0, reach) for x in q_all]
     q = F.coalesce("q", F.array(*[F.lit(x).cast("double") for x in whole]))
     wide = F.lit(spread) * F.greatest(F.lit(1.0), F.sqrt(F.lit(400.0) / F.greatest(F.col("chars"), F.lit(1))))
     bound = scored.join(each, "lang", "left").select(*scored.columns, (q[1] - wide * (q[1] - q[0])).alias("low"), (q[1] + wide * (q[2] - q[1])).alias("high"))
@@ -250,7 +256,9 @@ def classify(
     `spread` times as far from its median as its `tail` and 1 - `tail` quantiles,
     in log perplexity; they widen for texts under 400 characters with the square
     root of their length, whose figures scatter. Languages with fewer than `least`
-    such documents, null among them, take the bounds of all. A figure equal to a
+    such documents, null among them, take the bounds of all; where those are few, the
+    bounds are set further apart, as far as a normal sample's outermost lie inside
+    the quantiles. A figure equal to a
     bound keeps. Null and empty texts have no perplexity and go. Where no trusted
     document sets bounds nothing else is rejected. Repeated rows give repeated
     rows; repeated or contradictory labels count as untrusted if any is; rows

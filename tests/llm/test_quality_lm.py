@@ -1,70 +1,131 @@
 import math
+import zlib
+from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sheaf.llm import quality_lm as Q
 from sheaf.llm.common import utf8
 
 
-def test_model_is_a_distribution_and_matches_the_formula(docs):
-    some = docs.where("doc_id < 40")
-    m = Q.fit(some)
-    p = np.exp(m.table().astype(float)).reshape(-1, 64).sum(axis=1)
-    assert abs(p - 1).max() < 1e-3
-
-    # Brute force, from the texts' 4-grams with plain dictionaries.
-    grams = np.concatenate([Q.grams(*utf8(pa.array([r.text])))[0] for r in some.collect()])
-    level = {4: {}}
-    for g in grams.tolist():
-        level[4][g] = level[4].get(g, 0) + 1
-    for k in (3, 2, 1):
-        level[k] = {}
-        for g in level[k + 1]:
-            s = g & ((1 << 6 * k) - 1)
-            level[k][s] = level[k].get(s, 0) + 1
-
-    def discounts(c):
-        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
-        if not all(n[:3]):
-            return [0.5] * 3
-        y = n[0] / (n[0] + 2 * n[1])
-        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-        return [min(max(d, 0.05), cap) for d, cap in zip(raw, (0.95, 1.95, 2.95))]
-
-    held = {k: discounts(c) for k, c in level.items()}
-    contexts = {k: {} for k in level}
-    for k, c in level.items():
-        for g, n in c.items():
-            t = contexts[k].setdefault(g >> 6, [0, 0.0])
-            t[0] += n
-            t[1] += held[k][min(n, 3) - 1]
-
-    def prob(g, k):
-        if k == 0:
-            return 1 / 64
-        g &= (1 << 6 * k) - 1
-        below = prob(g, k - 1)
-        if (g >> 6) not in contexts[k]:
+def windows(t):
+    s = [0, 0, 0] + [ord(c) + 1 for c in t or ""] + [0]
+    return [tuple(s[i : i + 4]) for i in range(len(s) - 3)] if t else []
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney over dictionaries."""
+
+    def __init__(self, texts):
+        self.count = {4: Counter(g for t in texts for g in windows(t))}
+        for k in (3, 2, 1):
+            self.count[k] = Counter(g[1:] for g in self.count[k + 1])
+        self.off, self.sums = {}, {}
+        for k, c in self.count.items():
+            n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+            self.off[k] = [0.5] * 3
+            if n1 and n2 and n3:
+                y = n1 / (n1 + 2 * n2)
+                self.off[k] = [min(max(d, 0.05), m) for d, m in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.95, 2.95))]
+            self.sums[k] = defaultdict(lambda: [0, 0.0])
+            for g, n in c.items():
+                self.sums[k][g[:-1]][0] += n
+                self.sums[k][g[:-1]][1] += self.off[k][min(n, 3) - 1]
+
+    def p(self, g):
+        if not g:
+            return 1 / (0x110000 + 1)
+        k, below = len(g), self.p(g[1:])
+        if g[:-1] not in self.sums[k]:
             return below
-        total, left = contexts[k][g >> 6]
-        n = level[k].get(g, 0)
-        return (max(n - held[k][min(n, 3) - 1], 0) / total if n else 0) + left / total * below
+        total, left = self.sums[k][g[:-1]]
+        n = self.count[k].get(g, 0)
+        return (n - self.off[k][min(n, 3) - 1] if n else 0) / total + left / total * below
+
+
+@pytest.mark.parametrize("slice_, dense", [(Q.SLICE, Q.DENSE), (16, 10)])
+def test_grams_are_those_of_each_text(monkeypatch, slice_, dense):
+    monkeypatch.setattr(Q, "SLICE", slice_)
+    monkeypatch.setattr(Q, "DENSE", dense)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ab é日本🙂\x00\n"), rng.choice([0, 1, 2, 3, 5, 40]))) for _ in range(60)] + [None, "x" * 200]
+    got = defaultdict(list)
+    for s, at, row in Q.sequences(*utf8(pa.array(texts))):
+        names, number = Q.numbered(s, at)
+        symbols = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in names.tolist()), ">u4").reshape(-1, 4)
+        assert len(set(names.tolist())) == len(names)
+        for k, r in zip(number, row):
+            got[r].append(tuple(symbols[k].tolist()))
+    assert all(got[i] == windows(t) for i, t in enumerate(texts))
+
+
+def test_log_probabilities_match_the_formula_and_sum_to_one(spark):
+    texts = ["the cat sat on the mat", "a cat and a hat, that cat", "日本の猫", "x"] * 2
+    plain = Plain(texts)
+    known = sorted({s for g in plain.count[4] for s in g})
+    asked = set(plain.count[4]) | {g for t in ("the hat sat", "猫の日", "zq") for g in windows(t)} | {(9, 9, 9, 9)} | {(117, 105, 102, s) for s in known}
+    name = lambda g: b"".join(s.to_bytes(4, "big") for s in g)
+    seen = spark.createDataFrame([(bytearray(name(g)), plain.count[4].get(g, 0)) for g in asked], "gram binary, n long")
+    got = {bytes(r.gram): r.lp for r in Q.log_probabilities(seen).collect()}
+    assert len(got) == len(asked) and all(math.isclose(got[name(g)], math.log(plain.p(g)), rel_tol=1e-9) for g in asked)
+    unseen = (Q.SYMBOLS - len(known)) * plain.p((117, 105, 102, 0xFFFF))
+    assert math.isclose(sum(math.exp(got[name((117, 105, 102, s))]) for s in known) + unseen, 1)
 
-    table, rng = m.table(), np.random.default_rng(0)
-    for g in [*rng.choice(grams, 50).tolist(), *rng.integers(0, 1 << 24, 50).tolist()]:
-        assert math.isclose(table[g], math.log(prob(g, 4)), rel_tol=1e-3, abs_tol=1e-4)
 
+def brute(rows, labels, tail=0.01, spread=2.0, least=100, short=200):
+    good = {i for i in {x[0] for x in labels} if i is not None and all(q == 1 and not t for j, q, t in labels if j == i)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    plain = Plain([t for i, t, _ in rows if i in good and not held(i)])
+    logs, out = {}, []
+    for i, t, lang in rows:
+        w = windows(t)
+        for g in set(w) - logs.keys():
+            logs[g] = math.log(plain.p(g))
+        out.append((i, lang, max(0, len(w) - 1), -sum(logs[g] for g in w) / len(w) if w else None))
+    known = defaultdict(list)
+    for i, lang, chars, nll in out:
+        if i in good and held(i) and chars >= short:
+            known[lang].append(nll)
+            known["all of them"].append(nll)
 
-def test_perplexity_is_the_sum_over_the_whole_text(docs, odd, empty):
-    m = Q.fit(docs)
-    table = m.table()
-    got = {r.doc_id: r for r in Q.perplexity(odd, m).collect()}
-    for i, t in ((3, "word"), (6, "日本語 テスト 🙂"), (11, "a " * 300)):
-        g, _ = Q.grams(*utf8(pa.array([t])))
-        assert len(g) == len(t) + 1 == got[i].chars + 1 and math.isclose(got[i].nll, -table[g].mean(), rel_tol=1e-5)
-    assert got[0].nll is None and got[1].nll is None and Q.perplexity(empty, m).count() == 0
+    def quantile(lang):
+        own = lang is not None and len(known[lang]) >= least
+        x = sorted(known[lang if own else "all of them"])
+        if not x:
+            return None
+        q = [x[max(0, math.ceil(p * len(x)) - 1)] for p in (tail, 0.5, 1 - tail)]
+        reach = 1 if own or len(x) == 1 else max(1, NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(len(x) / (len(x) + 1)))
+        return [q[1] + (y - q[1]) * reach for y in q]
+
+    for i, lang, chars, nll in out:
+        q = quantile(lang)
+        wide = spread * max(1, math.sqrt(400 / max(chars, 1)))
+        low, high = (q[1] - wide * (q[1] - q[0]), q[1] + wide * (q[2] - q[1])) if q else (None, None)
+        yield i, lang, chars, nll, low, high, nll is not None and (q is None or low <= nll <= high)
+
+
+def close(a, b):
+    return a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9))
+
+
+@pytest.mark.parametrize("options", [{}, {"least": 3, "short": 50, "tail": 0.2, "spread": 1.0, "chunk_bytes": 20_000}])
+def test_every_column_matches_brute_force(spark, sf, docs, options):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    some = {k: v for k, v in options.items() if k != "chunk_bytes"}
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    want = {x[0]: x for x in brute(rows, [(r.doc_id, r.quality, r.toxic) for r in labels.collect()], **some)}
+    got = Q.classify(docs, labels, **options).collect()
+    assert len(got) == len(want)
+    log = lambda x: None if x is None else math.log(x)
+    for r in got:
+        _, lang, chars, nll, low, high, kept = want[r.doc_id]
+        assert (r.lang, r.chars, r.kept) == (lang, chars, kept)
+        assert close(log(r.perplexity), nll) and close(log(r.low), low) and close(log(r.high), high)
+    assert (len({r.low for r in got if r.chars >= 400}) == 1) == (not options)  # with few documents all languages share one bound
 
 
 def test_verdicts(spark, sf, docs, odd, empty):
@@ -79,5 +140,16 @@ def test_verdicts(spark, sf, docs, odd, empty):
         rows = Q.classify(df, none).collect()
         assert len(rows) == n and all(r.kept == bool(r.chars) for r in rows)
     odd_labels = spark.createDataFrame([(3, 1, None), (3, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
-    record = odd.withColumn("rec", F.struct(*odd.columns))
-    assert Q.classify(record, odd_labels, record="rec").select("rec.*").columns == odd.columns
+    wide = odd.withColumn("chunk", F.lit(1)).withColumn("place", F.lit("p")).withColumn("blob", F.array(F.lit(1.5))).withColumn("c0", F.lit(None).cast("string"))
+    said = sorted((str(r.doc_id), r.chars) for r in Q.classify(wide, odd_labels).collect() if r.kept)
+    left = Q.keep(wide, odd_labels)
+    assert left.columns == wide.columns and sorted((str(r.doc_id), len(r.text)) for r in left.collect()) == said
+    assert Q.keep(empty, odd_labels).columns == empty.columns and Q.keep(empty, odd_labels).count() == 0
+
+
+def test_texts_of_other_scripts_are_told_apart(spark):
+    prose, rare = "日本語の文章です。今日は天気がいい。" * 20, "鑫龘靐齉爩麤灪龗厵飝籱爨癵籲" * 20
+    rows = [(i, prose[i % 7 :], "ja") for i in range(40)] + [(100, prose[5:90], "ja"), (101, rare[5:90], "ja")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in Q.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, least=3).collect()}
+    assert got[100].perplexity * 100 < got[101].perplexity and not got[101].kept
