@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 
 import numpy as np
 
@@ -32,12 +33,23 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _behind_spaces(words: list[str]) -> str:
+    return " " + " ".join(words)
+
+
+def _lines(words: list[str]) -> str:
+    return "\n".join(words) + "\n"
+
+
 class ByteBPE:
-    def __init__(self, spec: bytes, remembered: int = 400_000, checked: int = 16, added: bool = False):
+    def __init__(self, spec: bytes, remembered: int = 400_000, checked: int = 16, every: int = 8, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
+        before = parsed["pre_tokenizer"] or {}
+        if (before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) != ("ByteLevel", True, False) or parsed["model"]["type"] != "BPE":
+            raise ValueError("not a byte-level BPE vocabulary with the usual split of words")
         special = {t["content"] for t in parsed["added_tokens"]}
         byte = _printable()
         vocab = {t: i for t, i in parsed["model"]["vocab"].items() if t not in special}
@@ -55,18 +67,34 @@ class ByteBPE:
         self.opens = np.zeros(self.size, dtype=bool)
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.words = WordIds(self._spaced, self._plain, np.array([self.feed], dtype="<u4").tobytes(), False, remembered)
-        self.to_check = checked
+        self.to_check, self.every = checked, every
+
+    def forget(self) -> None:
+        """Let go of all remembered words: workers outlive their tasks."""
+        self.words.clear()
+
+    def _check(self, texts: list[str], ids: list[bytes], join) -> None:
+        """One in `every` of newly met texts, by their hash, against the library."""
+        some = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.every == 0]
+        if some:
+            want = self.peer.encode(join([texts[i] for i in some]), add_special_tokens=False).ids
+            if np.array(want, dtype="<u4").tobytes() != b"".join(ids[i] + (self.words.feed if join is _lines else b"") for i in some):
+                raise AssertionError(f"one of {len(some)} texts differs from the tokenizers library")
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         """Each word's ids behind a space: encoded as one text and cut where a token opens with a space."""
-        ids = np.array(self.engine.encode_ordinary(" " + " ".join(words)), dtype=np.uint32)
-        return cut_at(ids, np.flatnonzero(self.opens[ids]))
+        ids = np.array(self.engine.encode_ordinary(_behind_spaces(words)), dtype=np.uint32)
+        out = cut_at(ids, np.flatnonzero(self.opens[ids]))
+        self._check(words, out, _behind_spaces)
+        return out
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Each word's ids at the beginning of a line: encoded as lines and cut behind the line feeds."""
-        ids = np.array(self.engine.encode_ordinary("\n".join(words) + "\n"), dtype=np.uint32)
+        ids = np.array(self.engine.encode_ordinary(_lines(words)), dtype=np.uint32)
         ends = np.flatnonzero(ids == self.feed)
-        return [x[:-4] for x in cut_at(ids, np.concatenate([[0], ends[:-1] + 1]))]
+        out = [x[:-4] for x in cut_at(ids, np.concatenate([[0], ends[:-1] + 1]))]
+        self._check(words, out, _lines)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; an empty text has none."""
@@ -91,15 +119,19 @@ class ByteBPE:
     def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
         plain = [bool(t) and " ".join(t.split()) == t.replace("\n", " ") for t in texts]
         known = iter(self.words.encode([[x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, plain) if ok]))
-        return [np.frombuffer(next(known), dtype="<u4") if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4") for t, ok in zip(texts, plain)]
+        out = [np.frombuffer(next(known), dtype="<u4") if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4") for t, ok in zip(texts, plain)]
+        for t, ids, ok in zip(texts, out, plain):
+            if t and not ok:
+                self._check([t], [ids.tobytes()], "".join)
+        return out
 
 
-_LOADED: dict[tuple[str, bool], ByteBPE] = {}
+_LOADED: dict[tuple[str, bool, int], ByteBPE] = {}
 
 
-def load(spec: bytes, added: bool = False) -> ByteBPE:
-    name = hashlib.sha256(spec).hexdigest(), added
+def load(spec: bytes, added: bool = False, every: int = 8) -> ByteBPE:
+    name = hashlib.sha256(spec).hexdigest(), added, every
     if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = ByteBPE(spec, added=added)
+        _LOADED[name] = ByteBPE(spec, added=added, every=every)
     return _LOADED[name]

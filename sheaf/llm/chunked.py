@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import cut_buckets, ship, slices
+from sheaf.llm.common import cut_buckets, pulled, ship, slices
 
 PIECE = 512 << 10
 GROUP = 8 << 20  # bytes of a row group of files that hold pieces
@@ -35,10 +36,20 @@ def buckets(spark: SparkSession) -> int:
 def numbered(batches, text: str, chunk_bytes: int):
     """(name, rows) of each chunk of a task's rows. Names tell the task's number and the chunk's within it."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives back what it frees
-    name = TaskContext.get().partitionId() << 24
+    name, held, size = TaskContext.get().partitionId() << 24, [], 0
     for b in slices(batches, text, chunk_bytes):
-        yield name, b
-        name += 1
+        own = pc.sum(pc.binary_length(pulled(b, text))).as_py() or 0
+        if held and size + own > chunk_bytes:
+            yield name, _one(held)
+            name, held, size = name + 1, [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield name, _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
 
 
 @dataclass

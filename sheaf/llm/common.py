@@ -34,18 +34,21 @@ _LOWER[65:91] += 32
 # --- lineage cuts ---------------------------------------------------------------
 
 _SCOPES = threading.local()
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while an operator writes a table of its own. Spark deletes the shuffle files of each action when it ends,
+#: as a written table needs them no more; and hands Python some MB at a time.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager
-def _clean_shuffles(spark: SparkSession):
-    """Within, Spark deletes the shuffle files of each action when it ends: a written table needs them no more."""
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+def _set_for_writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, what: str = "cut", group_bytes: int | None = None) -> DataFrame:
@@ -56,7 +59,7 @@ def cut(df: DataFrame, what: str = "cut", group_bytes: int | None = None) -> Dat
     spark = df.sparkSession
     path = _named(spark, what)
     schema = df.schema
-    with _clean_shuffles(spark):
+    with _set_for_writing(spark):
         _writer(df, group_bytes).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -69,7 +72,7 @@ def cut_buckets(df: DataFrame, by: str, buckets: int, what: str = "buckets", gro
     spark = df.sparkSession
     path = _named(spark, what)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    with _clean_shuffles(spark):
+    with _set_for_writing(spark):
         _writer(df, group_bytes).bucketBy(min(buckets, 100_000), by).option("path", path).format("parquet").saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved while the entry is there
@@ -125,6 +128,13 @@ def tidy(operator: Callable) -> Callable:
     return run
 
 
+def key_name(key: str, *taken: str) -> str:
+    """The name under which a result carries the key: its own, or with `_key` behind it where a column of the result is called so."""
+    while key.lower() in taken:
+        key += "_key"
+    return key
+
+
 def fold(col: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids fall in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.chunked import GROUP, buckets, joined, numbered, pieces
-from sheaf.llm.common import cut, cut_buckets, discard, fold, hashed_words, mix, pulled, ship, slices, tidy, utf8
+from sheaf.llm.common import cut, cut_buckets, discard, fold, hashed_words, key_name, mix, pulled, ship, slices, tidy, utf8
 
 SYMBOLS = 8  # rows that an emission table has at least; a chunk's has one for each of its words, the end and the unknown
 STATES = 4
@@ -448,7 +448,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     """
     laid = chunks(docs, fold(key, folds) != held, text, key)
     hmm, counts, weights = fit(laid, rounds, states, seed)
-    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    name = key_name(key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names = [name, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def judge(own: pa.Table, got: pa.Table) -> pa.Table:
         c = _Chunk(own, got, hmm, seed)
@@ -466,4 +467,4 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
 
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
     got = counts if weights is None else counts.unionByName(weights)
-    return _grouped(laid, got, weights is None).applyInArrow(judge, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _grouped(laid, got, weights is None).applyInArrow(judge, f"`{name}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

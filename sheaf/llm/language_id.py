@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import _LOWER, pulled, ship, slices, smallest_hashes, utf8
+from sheaf.llm.common import _LOWER, key_name, pulled, ship, slices, smallest_hashes, utf8
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -211,10 +211,10 @@ def identify(docs: DataFrame, model: Coded, text: str = "text", key: str = "doc_
     def predict(batches):
         for b in slices(batches, "__text", 2 << 20):
             said, score, doubt = _told(shared.value, pulled(b, "__text"), near)
-            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(said, pa.string()), pa.array(score), pa.array(doubt)], names=[key, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([pulled(b, "__key"), pa.array(said, pa.string()), pa.array(score), pa.array(doubt)], names=out.names)
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    out = T.StructType([T.StructField(key, rows.schema["__key"].dataType), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
+    out = T.StructType([T.StructField(key_name(key, "lang_pred", "score", "ambiguous"), rows.schema["__key"].dataType), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
     return rows.mapInArrow(predict, out)
 
 

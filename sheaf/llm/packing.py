@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import byte_bpe
-from sheaf.llm.common import cut, pulled, ship, slices
+from sheaf.llm.common import cut, key_name, pulled, ship, slices, tidy
 
-SALTS = 64
+PART = 1 << 18  # pieces of a class that are ranked in one task, on average
+TAKEN = ("start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
 
 
 def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_id", window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -38,7 +39,14 @@ def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         bpe = byte_bpe.load(spec.value, added=True)
+        try:
+            yield from cut_up(bpe, batches)
+        finally:
+            bpe.forget()
+
+    def cut_up(bpe, batches):
         for b in slices(batches, "__text", 2 << 20):
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for i, got in enumerate(bpe.encode_batch([t or "" for t in pulled(b, "__text").to_pylist()])):
@@ -57,9 +65,10 @@ def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), names=names)
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    names = [key, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    name = key_name(key, *TAKEN)
+    names = [name, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(run, f"`{name}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -166,25 +175,33 @@ def pack(cut_pieces: DataFrame, key: str = "doc_id", window: int = 1024, grain:
     """The pieces with sequence_id long and offset long.
 
     `cut_pieces` must be a table read or a cut, whose rows stay the same. Equal
-    lengths share a class; which of them comes first goes by a hash of key and
-    start, ties in no fixed order. Rows repeated in every column are packed each
+    lengths share a class; which of them comes first goes by a hash of key,
+    start and place. Rows repeated in every column are packed each
     on its own. An empty table gives no rows. No sequence is longer than the
     window, and offsets in a sequence run on without gaps.
     """
     spark = cut_pieces.sparkSession
     kind = F.ceil(F.col("length") / F.lit(grain)).cast("int")
     spread = F.xxhash64(F.lit(5), F.col(key), "start", F.monotonically_increasing_id())
-    rows = cut_pieces.withColumn("__class", kind).withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int")).withColumn("__order", spread)
-    per = rows.groupBy("__class", "__salt").count().collect()  # classes x salts at most
     full = window // grain
-    counts = np.zeros((full + 1, SALTS), dtype=np.int64)
-    for r in per:
-        counts[r["__class"], r["__salt"]] = r["count"]
-    before = np.cumsum(counts, axis=1) - counts
-    starts = spark.createDataFrame([(int(c), int(s), int(before[c, s])) for c, s in zip(*np.nonzero(counts))], "__class int, __salt int, __before long")
+    rows = cut_pieces.withColumn("__class", kind)
+    size = np.zeros(full + 1, dtype=np.int64)
+    for r in rows.groupBy("__class").count().collect():  # as many as there are classes
+        size[r["__class"]] = r["count"]
+    # A class is ranked in parts, more of them the larger it is.
+    parts = np.maximum(8, -(-size // PART))
+    salt = F.expr(f"pmod(__order, array({', '.join(f'{x}L' for x in parts.tolist())})[__class])")
+    rows = rows.withColumn("__order", spread).withColumn("__salt", salt)
+    counts = {(r["__class"], r["__salt"]): r["count"] for r in rows.groupBy("__class", "__salt").count().collect()}  # 8 a class, and one for PART pieces
+    ends: dict[int, int] = {}
+    starts_ = []
+    for (c, s), n in sorted(counts.items()):
+        starts_.append((int(c), int(s), ends.get(c, 0)))
+        ends[c] = ends.get(c, 0) + n
+    starts = spark.createDataFrame(starts_, "__class int, __salt long, __before long")
 
     taken, sequence, spans = np.zeros(full + 1, dtype=np.int64), 0, []
-    for combo, n in plan(counts.sum(axis=1), depth):
+    for combo, n in plan(size, depth):
         for c, times in Counter(combo).items():
             # Ranks [lo, lo + n * times) of the class go to these n sequences, `times` to each.
             spans.append((c, int(taken[c]), int(taken[c] + n * times), times, sequence))
@@ -205,6 +222,14 @@ def pack(cut_pieces: DataFrame, key: str = "doc_id", window: int = 1024, grain:
     return placed.withColumn("offset", F.sum("length").over(ahead.rowsBetween(Window.unboundedPreceding, -1))).withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long")).drop("__rank")
 
 
+@tidy
 def pack_documents(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_id", window: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: key, start, length, ids_crc32, doc_tokens [, ids], sequence_id, offset."""
-    return pack(cut(pieces(docs, spec_path, text, key, window, with_ids=with_ids), "pieces"), key, window)
+    """Tokenise, cut and pack: key, start, length, ids_crc32, doc_tokens [, ids], sequence_id, offset; one row per piece.
+
+    Null and empty texts are the end id alone. Rows that repeat, and rows without a
+    key, are packed each on its own. Other columns are not read; a key named like a
+    result's column has `_key` behind it. An empty table gives no rows. A task
+    tokenises whole texts: it holds some ten times the bytes of its longest.
+    """
+    cut_up = cut(pieces(docs, spec_path, text, key, window, with_ids=with_ids), "pieces")
+    return pack(cut_up, cut_up.columns[0], window)

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.chunked import Chunks, chosen, lay
-from sheaf.llm.common import cut, fold, pulled, slices, tidy, utf8
+from sheaf.llm.common import cut, fold, key_name, pulled, slices, tidy, utf8
 
 ORDER = 4
 SYMBOLS = 0x110000 + 1  # code points and the end mark
-SLICE = 2 << 20
+SLICE = 1 << 20
 DENSE = 1 << 25  # codes below this are numbered by a map of bits, others by sorting
 
 
@@ -268,7 +268,8 @@ def classify(
     """
     chunks = lay(docs.select(F.col(key), F.col(lang), F.col(text).cast("string").alias(text)), key, text, chunk_bytes)
     out = _judged(chunks, labels, f"c{chunks.columns.index(text)}", key, lang, tail, spread, least, short, folds)
-    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), "chars", F.exp("nll").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
+    taken = "chars", "perplexity", "low", "high", "kept"
+    return out.select(F.col("key").alias(key_name(key, *taken)), F.col("lang").alias(key_name(lang, *taken)), "chars", F.exp("nll").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
 @tidy

@@ -9,6 +9,7 @@ sampled documents share are boilerplate wherever they stand.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import _IS_SPACE, mix, pulled, ship, slices, smallest_hashes, utf8, word_hashes, words
+from sheaf.llm.common import _IS_SPACE, key_name, mix, pulled, ship, slices, smallest_hashes, utf8, word_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
 _KINDS = np.zeros((256, 6), dtype=bool)
@@ -201,17 +202,23 @@ def train(x: np.ndarray, y: np.ndarray, rows: np.ndarray, rounds: int = 120) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_class: int = 400, lines: int = 400, shared: int = 3) -> Field:
-    """Fit on `per_class` documents at most of each quality, and `lines` lines at most of each. Null labels, keys and texts teach nothing."""
+    """Fit on `per_class` documents at most of each quality. Null labels, keys and texts teach nothing.
+
+    Of a document with more than `lines` lines, one run of so many is read; which,
+    its key says. Rows of one key count once, with the text that sorts first; the
+    lesser of contradictory labels holds.
+    """
     ship(docs.sparkSession)
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__y"))
     picked = smallest_hashes(marks, "__y", "__key", per_class, 11).select("__key", "__y")
-    sample = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).join(F.broadcast(picked), "__key")
+    sample = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).join(F.broadcast(picked), "__key").groupBy("__key", "__y").agg(F.min("__text").alias("__text"))
 
     def lined(batches):
         for b in slices(batches, "__text"):
             m = measure(*utf8(pulled(b, "__text")))
             for i, (k, y) in enumerate(zip(pulled(b, "__key").to_pylist(), pulled(b, "__y").to_pylist())):
                 lo, hi = np.searchsorted(m["line_row"], [i, i + 1])
+                lo += zlib.crc32(str(k).encode()) % max(1, -(-(hi - lo) // lines)) * lines
                 hi = min(hi, lo + lines)
                 yield pa.RecordBatch.from_pydict({"k": [str(k)], "y": [int(y)], "x": [m["x"][lo:hi].tobytes()], "h": [m["line_hash"][lo:hi].tobytes()]}, schema=out)
 
@@ -232,11 +239,14 @@ def judge(docs: DataFrame, model: Field, text: str = "text", key: str = "doc_id"
     """One row per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, base_failed, kept.
 
     Null and empty texts have no words, share 0, and fail. A share equal to
-    `least_share` keeps. Repeated rows give repeated rows; other columns are not read.
+    `least_share` keeps. Repeated rows give repeated rows; other columns are not read;
+    a key named like a result's column has `_key` behind it; an empty table gives no
+    rows. A text is measured whole: a task holds some 60 bytes a byte of its longest.
     """
     spark = docs.sparkSession
     ship(spark)
     model_ = spark.sparkContext.broadcast(model)
+    name = key_name(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -250,9 +260,9 @@ def judge(docs: DataFrame, model: Field, text: str = "text", key: str = "doc_id"
             failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
             yield pa.RecordBatch.from_arrays(
                 [pulled(b, "__key"), *[pa.array(c[k]) for k in names], pa.array(share), pa.array(failed), pa.array(~failed & (share >= least_share))],
-                names=[key, *names, "content_share", "base_failed", "kept"],
+                names=[name, *names, "content_share", "base_failed", "kept"],
             )
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", content_share double, base_failed boolean, kept boolean")
+    return rows.mapInArrow(run, f"`{name}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", content_share double, base_failed boolean, kept boolean")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import byte_bpe
-from sheaf.llm.common import cut, pulled, shared_dir, ship, slices
+from sheaf.llm.common import cut, key_name, pulled, shared_dir, ship, slices, tidy
 
 
 def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
@@ -27,7 +27,8 @@ def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, tex
 
     Returns the list of what the successful attempts wrote: file, tokens (its
     length), ordinal (of a text in it; -1 in the row that stands for the file),
-    key. Files of failed attempts have names of their own and are not listed.
+    key. The store must be one that pyarrow.fs opens by its URI (file, hdfs, s3,
+    gs), for the driver and executors alike. Files of failed attempts have names of their own and are not listed.
     Null and empty texts are an end id alone.
     """
     spark = docs.sparkSession
@@ -35,10 +36,17 @@ def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, tex
     home = f"{folder or shared_dir(spark)}/flat-{uuid.uuid4().hex}"
     with open(spec_path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    kind = f"<u{width}"
+    kind, name = f"<u{width}", key_name(key, "file", "tokens", "ordinal", "start", "n_tokens")
 
     def run(batches):
-        bpe, task = byte_bpe.load(spec.value), TaskContext.get()
+        bpe = byte_bpe.load(spec.value, every=2)
+        try:
+            yield from write(bpe, batches)
+        finally:
+            bpe.forget()
+
+    def write(bpe, batches):
+        task = TaskContext.get()
         assert max(bpe.size - 1, end_id) < 1 << (8 * width), "ids do not fit the width"
         uri = f"{home}/{task.partitionId()}-{task.taskAttemptId()}.bin"
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -51,18 +59,18 @@ def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, tex
                     out.write(close)
                     tokens += len(ids) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri] * b.num_rows), pa.nulls(b.num_rows, pa.int64()), pa.array(np.arange(n, n + b.num_rows)), pulled(b, "__key")], names=["file", "tokens", "ordinal", key]
+                    [pa.array([uri] * b.num_rows), pa.nulls(b.num_rows, pa.int64()), pa.array(np.arange(n, n + b.num_rows)), pulled(b, "__key")], names=["file", "tokens", "ordinal", name]
                 )
                 n += b.num_rows
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([tokens]), pa.array([-1]), pa.nulls(1, key_type)], names=["file", "tokens", "ordinal", key])
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([tokens]), pa.array([-1]), pa.nulls(1, key_type)], names=["file", "tokens", "ordinal", name])
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     key_kind = rows.schema["__key"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(key_kind)
-    return cut(rows.mapInArrow(run, f"file string, tokens long, ordinal long, `{key}` {key_kind.simpleString()}"), "flat-list")
+    return cut(rows.mapInArrow(run, f"file string, tokens long, ordinal long, `{name}` {key_kind.simpleString()}"), "flat-list")
 
 
 def scan_flat(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) -> DataFrame:
@@ -97,8 +105,18 @@ def scan_flat(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 2
     return each.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
 
 
+@tidy
 def count_documents(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, text: str = "text", key: str = "doc_id", block: int = 1 << 20) -> DataFrame:
-    """key, ordinal, start, n_tokens: written as flat files, counted by scanning them, and named again by file and ordinal."""
+    """key, ordinal, start, n_tokens: written as flat files, counted by scanning them, and named again by file and ordinal.
+
+    Null and empty texts have no token. Rows that repeat, and rows without a key,
+    each have a row. A text longer than a block is stitched from several. Other
+    columns are not read; a key named like a result's column has `_key` behind it.
+    An empty table gives no rows. A task tokenises whole texts of 2 MB and more at a
+    time: it holds some ten times the bytes of its longest text. The flat files stay
+    in the shared folder; `write_flat` and `scan_flat` are for files of one's own.
+    """
     listed = write_flat(docs, spec_path, end_id, width, text, key)
     counted = scan_flat(listed.where("ordinal = -1").select("file", "tokens"), end_id, width, block)
-    return listed.where("ordinal >= 0").drop("tokens").join(counted, ["file", "ordinal"]).select(key, "ordinal", "start", "n_tokens")
+    found = listed.where("ordinal >= 0").drop("tokens").join(counted, ["file", "ordinal"])
+    return found.select(key_name(key, "file", "tokens", "ordinal", "start", "n_tokens"), "ordinal", "start", "n_tokens")

@@ -15,11 +15,14 @@ class WordIds:
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.spaced.clear()
+        self.plain.clear()
+
     def encode(self, texts: list[list[list[str]]]) -> list[bytes]:
         """texts: of each text its lines, of each line its words, none of them empty."""
         if len(self.spaced) + len(self.plain) > self.most:
-            self.spaced.clear()
-            self.plain.clear()
+            self.clear()
         lines = list(chain.from_iterable(texts))
         for known, many, met in ((self.spaced, self.many_spaced, set(chain.from_iterable(lines))), (self.plain, self.many_plain, {x[0] for x in lines})):
             new = list(met.difference(known))
