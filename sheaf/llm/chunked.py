@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import cut_buckets, pulled, ship, slices
+from sheaf.llm.common import cut_buckets, lean, lean_group, lean_groups, pulled, ship, slices
 
 PIECE = 512 << 10
 GROUP = 8 << 20  # bytes of a row group of files that hold pieces
@@ -35,7 +35,6 @@ def buckets(spark: SparkSession) -> int:
 
 def numbered(batches, text: str, chunk_bytes: int):
     """(name, rows) of each chunk of a task's rows. Names tell the task's number and the chunk's within it."""
-    pa.set_memory_pool(pa.system_memory_pool())  # gives back what it frees
     name, held, size = TaskContext.get().partitionId() << 24, [], 0
     for b in slices(batches, text, chunk_bytes):
         own = pc.sum(pc.binary_length(pulled(b, text))).as_py() or 0
@@ -74,19 +73,17 @@ class Chunks:
         """function(chunk's name, its rows) -> pa.Table of `schema`, for every chunk; nothing moves."""
 
         def run(rows: pa.Table) -> pa.Table:
-            pa.set_memory_pool(pa.system_memory_pool())
             return function(rows.column("chunk")[0].as_py(), unpacked(rows))
 
-        return self.packed.groupBy("chunk").applyInArrow(run, schema)
+        return self.packed.groupBy("chunk").applyInArrow(lean_group(run), schema)
 
     def gather(self, more: DataFrame, function, schema) -> DataFrame:
         """function(chunk's name, its rows, its rows of `more`) -> pa.Table of `schema`, for every chunk. `more` has a column chunk; it is what moves."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            pa.set_memory_pool(pa.system_memory_pool())
             return function(left.column("chunk")[0].as_py(), unpacked(left), right)
 
-        return self.packed.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(run, schema)
+        return self.packed.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(lean_groups(run), schema)
 
 
 def lay(docs: DataFrame, key: str, text: str, chunk_bytes: int = 16 << 20) -> Chunks:
@@ -113,7 +110,7 @@ def lay(docs: DataFrame, key: str, text: str, chunk_bytes: int = 16 << 20) -> Ch
             yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blob, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, names.type)], names=schema.names)
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), names], names=schema.names)
 
-    table = cut_buckets(rows.mapInArrow(run, schema), "chunk", buckets(spark), "chunks", GROUP)
+    table = cut_buckets(rows.mapInArrow(lean(run), schema), "chunk", buckets(spark), "chunks", GROUP)
     return Chunks(table, columns, key, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
 
 

@@ -7,11 +7,12 @@ bytes, so texts are handled as UTF-8 without decoding.
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,66 @@ def smallest_hashes(rows: DataFrame, group: str, key: str, most: int, seed: int,
     return hashed.select(group, key)
 
 
+# --- workers -------------------------------------------------------------------
+
+
+@lru_cache(maxsize=None)
+def _libc():
+    """glibc, told to give back every freed array of a MB and more; None elsewhere."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (OSError, AttributeError):
+        return None
+
+
+def settle() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and stand beside the executor's heap."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def lean(function: Callable) -> Callable:
+    """A function of batches that settles before and behind its task."""
+
+    def run(batches):
+        settle()
+        try:
+            yield from function(batches)
+        finally:
+            settle()
+
+    return run
+
+
+def lean_group(function: Callable) -> Callable:
+    """A function of a group's table that settles behind it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        settle()
+        try:
+            return function(table)
+        finally:
+            settle()
+
+    return run
+
+
+def lean_groups(function: Callable) -> Callable:
+    """The same for two tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        settle()
+        try:
+            return function(left, right)
+        finally:
+            settle()
+
+    return run
+
+
 # --- batches -----------------------------------------------------------------
 
 

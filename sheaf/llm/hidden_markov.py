@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.chunked import GROUP, buckets, joined, numbered, pieces
-from sheaf.llm.common import cut, cut_buckets, discard, fold, hashed_words, key_name, mix, pulled, ship, slices, tidy, utf8
+from sheaf.llm.common import cut, cut_buckets, discard, fold, hashed_words, key_name, lean, lean_group, lean_groups, mix, pulled, ship, slices, tidy, utf8
 
 SYMBOLS = 8  # rows that an emission table has at least; a chunk's has one for each of its words, the end and the unknown
 STATES = 4
@@ -146,7 +146,7 @@ def chunks(docs: DataFrame, train, text: str, key: str, chunk_bytes: int = 32 <<
             yield from _table(rows).to_batches()
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), train.alias("__train"))
-    return cut_buckets(rows.mapInArrow(run, LAID), "chunk", buckets(spark), "texts", GROUP)
+    return cut_buckets(rows.mapInArrow(lean(run), LAID), "chunk", buckets(spark), "texts", GROUP)
 
 
 def _dealt(laid: DataFrame, bits: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _dealt(laid: DataFrame, bits: int) -> DataFrame:
                 rows = [(name, ASK, int(shard[x]), first, (y - x).to_bytes(4, "little") + u[x:y].tobytes() + _coded(own[x:y], none[x:y], count[x:y])) for x, y in zip(edges, edges[1:])]
                 yield from _table(rows).to_batches()
 
-    return laid.where(F.col("kind") == ASK).mapInArrow(run, LAID)
+    return laid.where(F.col("kind") == ASK).mapInArrow(lean(run), LAID)
 
 
 def _started(u: np.ndarray, total: np.ndarray, states: int, seed: int) -> np.ndarray:
@@ -175,7 +175,6 @@ def _answer(states: int, seed: int):
     """One shard: total counts of the words that training texts hold, to every chunk that asked; and the sums of counts, words and first weights."""
 
     def run(table: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
         hashes, asks = [], []
         for chunk, _, shard, piece, blob in _rows(table):
             n = int.from_bytes(blob[:4], "little")
@@ -201,7 +200,6 @@ def _renew(states: int):
     """One shard: the sums of its words' expected counts, smoothed, to every chunk that sent some. Statistics are summed."""
 
     def run(table: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
         rows = list(_rows(table))
         if rows[0][1] == STATS:
             return _table([(-1, STATS, rows[0][2], 0, np.sum([np.frombuffer(r[4], "<f8") for r in rows], axis=0).tobytes())])
@@ -224,7 +222,7 @@ def _sums(stats: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(size)), "v": pa.array(np.sum(got, axis=0))})
 
     out = np.zeros(size)
-    for r in stats.where(F.col("kind") == STATS).select("blob").mapInArrow(unfold, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in stats.where(F.col("kind") == STATS).select("blob").mapInArrow(lean(unfold), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -233,7 +231,6 @@ class _Chunk:
     """One chunk: its texts, and the weights of its words, from the shards' rows or, at first, from counts and hashes."""
 
     def __init__(self, own: pa.Table, got: pa.Table, hmm: HMM, seed: int):
-        pa.set_memory_pool(pa.system_memory_pool())
         kind = own.column("kind").to_numpy()
         self.texts, states = _unpacked(joined(own.filter(pa.array(kind == PAYLOAD)))), len(hmm.first)
         self.words = int(self.texts["words"][0])
@@ -414,7 +411,7 @@ def fit(laid: DataFrame, rounds: int = 3, states: int = STATES, seed: int = 3) -
     """Baum-Welch over all training texts: the model, the words' counts and, after any round, their weights as rows for the chunks. laid: of `chunks`."""
     n_docs, asked = _sums(laid, 2).astype(int).tolist()
     bits = max(0, (asked // SHARD_WORDS).bit_length())
-    counts = cut(_dealt(laid, bits).groupBy("shard").applyInArrow(_answer(states, seed), LAID), "counts", GROUP)
+    counts = cut(_dealt(laid, bits).groupBy("shard").applyInArrow(lean_group(_answer(states, seed)), LAID), "counts", GROUP)
     n_tokens, n_words, *mass = _sums(counts, 2 + states)
     counts = counts.where(F.col("kind") == COUNTS)
     rng = np.random.default_rng(seed)
@@ -424,8 +421,8 @@ def fit(laid: DataFrame, rounds: int = 3, states: int = STATES, seed: int = 3) -
     weights = None
     for _ in range(rounds if n_docs else 0):
         old, got = weights, counts if weights is None else weights.where(F.col("kind") == WEIGHTS)
-        sent = _grouped(laid, got, old is None).applyInArrow(_step(hmm, seed), LAID)
-        weights = cut(sent.groupBy("shard").applyInArrow(_renew(states), LAID), "weights", GROUP)
+        sent = _grouped(laid, got, old is None).applyInArrow(lean_groups(_step(hmm, seed)), LAID)
+        weights = cut(sent.groupBy("shard").applyInArrow(lean_group(_renew(states)), LAID), "weights", GROUP)
         if old is not None:
             discard(old)
         first, move, end, words_ = np.split(_sums(weights, states * (states + 3)), np.cumsum([states, states * states, states]))
@@ -467,4 +464,4 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
 
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
     got = counts if weights is None else counts.unionByName(weights)
-    return _grouped(laid, got, weights is None).applyInArrow(judge, f"`{name}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _grouped(laid, got, weights is None).applyInArrow(lean_groups(judge), f"`{name}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

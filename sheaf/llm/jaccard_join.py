@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.chunked import Chunks, chosen, lay
-from sheaf.llm.common import _LOWER, cut, hashed_words, mix, pulled, ship, signed, slices, tidy, utf8
+from sheaf.llm.common import _LOWER, cut, hashed_words, lean, lean_group, lean_groups, mix, pulled, ship, signed, slices, tidy, utf8
 from sheaf.llm.components import components
 
 WORDS = 5
@@ -261,7 +261,7 @@ def _entries(docs: DataFrame, text: str, k: int, percent: int, slack: float, ask
             order = np.argsort(both, kind="stable")
             yield _batch(*(x[order] for x in (np.concatenate([key[row], who]), signed(np.concatenate([sig, alone])), np.concatenate([tag, evidence_of(stat[:, 1], stat[:, 2], stat[:, 3])]))))
 
-    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key long, tag long, sig long")
+    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), "key long, tag long, sig long")
 
 
 def _batch(key, sig, tag):
@@ -357,7 +357,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, chunks: Chunks, k: int, perc
 
     kind = close.schema["a_id"].dataType.simpleString()
     grouped = firsts.groupBy("f_at", "f_block").cogroup(seconds.groupBy("a_at", "block"))
-    return cut(grouped.applyInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
+    return cut(grouped.applyInArrow(lean_groups(check), f"a {kind}, b {kind}").distinct(), "links")
 
 
 def close_pairs(sig, key, component, n, sketch, probe, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +406,7 @@ def _across(probes: DataFrame, indexed: DataFrame, label: DataFrame, percent: in
         u = np.unique(np.stack([r, s], axis=1), axis=0) if len(r) else np.zeros((0, 2), np.int64)
         return pa.table({"r": u[:, 0].copy(), "s": u[:, 1].copy()})
 
-    return rows.withColumn("bucket", F.pmod("sig", F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, "r long, s long")
+    return rows.withColumn("bucket", F.pmod("sig", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(pairs), "r long, s long")
 
 
 @dataclass

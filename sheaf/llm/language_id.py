@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import _LOWER, key_name, pulled, ship, slices, smallest_hashes, utf8
+from sheaf.llm.common import _LOWER, key_name, lean, pulled, ship, slices, smallest_hashes, utf8
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 }
             )
 
-    rows = sorted(sample.mapInArrow(sparse, "lang string, key string, cells binary, values binary").collect(), key=lambda r: (r.lang, r.key))
+    rows = sorted(sample.mapInArrow(lean(sparse), "lang string, key string, cells binary, values binary").collect(), key=lambda r: (r.lang, r.key))
     languages = sorted({r.lang for r in rows})
     return _fit(_Rows([(np.frombuffer(r["cells"], np.uint16), np.frombuffer(r["values"], np.float16)) for r in rows]), np.array([languages.index(r.lang) for r in rows], dtype=int), languages)
 
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Coded, text: str = "text", key: str = "doc_
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     out = T.StructType([T.StructField(key_name(key, "lang_pred", "score", "ambiguous"), rows.schema["__key"].dataType), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields])
-    return rows.mapInArrow(predict, out)
+    return rows.mapInArrow(lean(predict), out)
 
 
 def keep(docs: DataFrame, model: Coded, text: str = "text", near: float = 1.0) -> DataFrame:
@@ -231,4 +231,4 @@ def keep(docs: DataFrame, model: Coded, text: str = "text", near: float = 1.0) -
             yield b.filter(pa.array((said != UNKNOWN) & ~doubt))
 
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return rows.mapInArrow(choose, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(lean(choose), rows.schema).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import byte_bpe
-from sheaf.llm.common import cut, key_name, pulled, ship, slices, tidy
+from sheaf.llm.common import cut, key_name, lean, pulled, ship, slices, tidy
 
 PART = 1 << 18  # pieces of a class that are ranked in one task, on average
 TAKEN = ("start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
@@ -39,7 +39,6 @@ def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
         bpe = byte_bpe.load(spec.value, added=True)
         try:
             yield from cut_up(bpe, batches)
@@ -68,7 +67,7 @@ def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_
     name = key_name(key, *TAKEN)
     names = [name, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{name}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(run), f"`{name}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import _IS_SPACE, key_name, mix, pulled, ship, slices, smallest_hashes, utf8, word_hashes, words
+from sheaf.llm.common import _IS_SPACE, key_name, lean, mix, pulled, ship, slices, smallest_hashes, utf8, word_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
 _KINDS = np.zeros((256, 6), dtype=bool)
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_pydict({"k": [str(k)], "y": [int(y)], "x": [m["x"][lo:hi].tobytes()], "h": [m["line_hash"][lo:hi].tobytes()]}, schema=out)
 
     out = pa.schema([("k", pa.string()), ("y", pa.int32()), ("x", pa.binary()), ("h", pa.binary())])
-    got = sorted(sample.mapInArrow(lined, "k string, y int, x binary, h binary").collect(), key=lambda r: (r.k, r.y, bytes(r.x)))
+    got = sorted(sample.mapInArrow(lean(lined), "k string, y int, x binary, h binary").collect(), key=lambda r: (r.k, r.y, bytes(r.x)))
     x = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     h = [np.frombuffer(r.h, np.uint64) for r in got]
     if not sum(map(len, h)):
@@ -265,4 +265,4 @@ def judge(docs: DataFrame, model: Field, text: str = "text", key: str = "doc_id"
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{name}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", content_share double, base_failed boolean, kept boolean")
+    return rows.mapInArrow(lean(run), f"`{name}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", content_share double, base_failed boolean, kept boolean")

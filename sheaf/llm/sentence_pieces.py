@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import pulled, ship, slices
+from sheaf.llm.common import lean, pulled, ship, slices
 from sheaf.llm.word_ids import WordIds, cut_at
 
 SPACE = "▁"
@@ -247,4 +247,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, ids binary, n_tokens long, decoded string")
+    return rows.mapInArrow(lean(run), f"`{key}` {kind}, ids binary, n_tokens long, decoded string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import byte_bpe
-from sheaf.llm.common import cut, key_name, pulled, shared_dir, ship, slices, tidy
+from sheaf.llm.common import cut, key_name, lean, pulled, shared_dir, ship, slices, tidy
 
 
 def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, tex
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(key_kind)
-    return cut(rows.mapInArrow(run, f"file string, tokens long, ordinal long, `{name}` {key_kind.simpleString()}"), "flat-list")
+    return cut(rows.mapInArrow(lean(run), f"file string, tokens long, ordinal long, `{name}` {key_kind.simpleString()}"), "flat-list")
 
 
 def scan_flat(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) -> DataFrame:
@@ -95,7 +95,7 @@ def scan_flat(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 2
                     ends = np.append(ends, tokens)  # the file's end closes an open text
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([ends.astype(np.int64)], pa.list_(pa.int64()))], names=["file", "block", "ends"])
 
-    found = cut(blocks.select("file", "tokens", "block").mapInArrow(find, "file string, block long, ends array<long>"), "ends")
+    found = cut(blocks.select("file", "tokens", "block").mapInArrow(lean(find), "file string, block long, ends array<long>"), "ends")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select("file", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last")).select(
         "file", "block", F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")
