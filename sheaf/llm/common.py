@@ -103,6 +103,11 @@ def _folders(df: DataFrame) -> set[str]:
     return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
+def own_tables(df: DataFrame) -> set[str]:
+    """Folders of tables that `cut` wrote and this DataFrame reads."""
+    return {f for f in _folders(df) if f.rsplit("/", 1)[1].startswith("sheaf-")}
+
+
 def tidy(operator: Callable) -> Callable:
     """When the operator ends, its tables in the shared folder go, but for those that the DataFrame it returns reads.
 
@@ -116,7 +121,7 @@ def tidy(operator: Callable) -> Callable:
         kept: set[str] = set()
         try:
             out = operator(*args, **kwargs)
-            kept = {f.rsplit("/", 1)[1] for f in _folders(out)} if isinstance(out, DataFrame) else kept
+            kept = {f.rsplit("/", 1)[1] for f in own_tables(out)} if isinstance(out, DataFrame) else kept
         finally:
             spark = SparkSession.getActiveSession()
             for path in scopes.pop():

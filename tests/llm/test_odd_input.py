@@ -17,13 +17,13 @@ BPE, PIECE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 @pytest.fixture(scope="module")
 def long(spark):
-    """Two equal texts of 3 MB, a third that differs in its last word, and one word of 200 KB."""
+    """Two equal texts of 1.2 MB, a third that differs in its last word, and one word of 200 KB."""
     rng = np.random.default_rng(0)
     letters = np.array(list("abcdefghij"))
     words = ["".join(x) for x in rng.choice(letters, (20_000, 6))]
-    body = " ".join(words[i] + ("\n" if i % 11 == 0 else "") for i in rng.integers(0, 20_000, 450_000))
-    assert len(body) > 3_000_000
-    texts = [body, body, body + " end", "z" * 200_000, None]
+    body = " ".join(words[i] + ("\n" if i % 11 == 0 else "") for i in rng.integers(0, 20_000, 180_000))
+    assert len(body) > 1_200_000
+    texts = [body, body, body + " end", "z" * 50_000, None]
     return spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2).cache(), texts
 
 
