@@ -9,33 +9,60 @@ operator's affair, and stands there.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import exact_dedup, jaccard_join, language_id, packing, quality_lm
-from sheaf.llm.common import cut, discard, tidy
+from sheaf.deploy import delete
+from sheaf.llm.common import cut, discard, own_tables, tidy
 from sheaf.llm.queries import table, tokenizer_path
 
 
+_LEFT: set[str] = set()
+
+
+def _stage(function):
+    """A stage's result is written before the next stage is called: tables that earlier results read go then, but for those that its own input reads."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reads = own_tables(docs)
+        for path in _LEFT - reads:
+            delete(spark, path)
+        _LEFT.intersection_update(reads)
+        out = function(spark, docs, sf_dir)
+        _LEFT.update(own_tables(out) - reads)
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within the bounds of their language. Null and empty texts go; repeated rows stay."""
     return quality_lm.keep(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told without ambiguity. Texts without a letter go; repeated rows stay."""
     return language_id.keep(docs, language_id.fit(docs))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; a null text equals an empty one, and of repeated rows one stays."""
     return exact_dedup.dedup(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Texts without words and rows without a key stay."""
     return jaccard_join.dedup(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in their sequences; a text without tokens is its end id alone."""
     packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), window=1024)
