@@ -86,7 +86,7 @@ class Chunks:
         return self.packed.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInArrow(lean_groups(run), schema)
 
 
-def lay(docs: DataFrame, key: str, text: str, chunk_bytes: int = 16 << 20) -> Chunks:
+def lay(docs: DataFrame, key: str, text: str, chunk_bytes: int = 4 << 20) -> Chunks:
     """All columns of `docs` in chunks of about so many bytes of `text`; one longer text is a chunk of its own.
 
     Inside, columns go by their position: c0, c1, ..., so no name clashes.

@@ -108,7 +108,7 @@ def keys(chunks: Chunks, k: int = WORDS) -> DataFrame:
 
     def run(name, rows: pa.RecordBatch) -> pa.Table:
         out, at = [], 0
-        for b in slices([rows], "c1", 2 << 20):
+        for b in slices([rows], "c1", 1 << 20):
             raw, off = utf8(pulled(b, "c1"))
             row, g = shingle_hashes(raw, off, k)
             n = np.bincount(row, minlength=b.num_rows)
@@ -239,7 +239,7 @@ def _entries(docs: DataFrame, text: str, k: int, percent: int, slack: float, ask
 
     def run(batches):
         met: set[int] = set()
-        for b in slices(batches, "__text", 2 << 20):
+        for b in slices(batches, "__text", 1 << 20):
             raw, off = utf8(pulled(b, "__text"))
             rows, g = shingle_hashes(raw, off, k)
             n = np.bincount(rows, minlength=b.num_rows)

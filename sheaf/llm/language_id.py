@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import _LOWER, key_name, lean, pulled, ship, slices, smallest_hashes, utf8
+from sheaf.llm.common import _LOWER, cut, key_name, lean, pulled, ship, slices, smallest_hashes, utf8
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -231,4 +231,5 @@ def keep(docs: DataFrame, model: Coded, text: str = "text", near: float = 1.0) -
             yield b.filter(pa.array((said != UNKNOWN) & ~doubt))
 
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return rows.mapInArrow(lean(choose), rows.schema).toDF(*docs.columns)
+    # Written here, where rows go to Python some MB at a time.
+    return cut(rows.mapInArrow(lean(choose), rows.schema), "told").toDF(*docs.columns)

@@ -246,7 +246,7 @@ def _judged(chunks: Chunks, labels: DataFrame, text: str, key: str, lang: str, t
 @tidy
 def classify(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",
-    tail: float = 0.01, spread: float = 2.0, least: int = 100, short: int = 200, folds: int = 5, chunk_bytes: int = 16 << 20,
+    tail: float = 0.01, spread: float = 2.0, least: int = 100, short: int = 200, folds: int = 5, chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """One row per row: key, lang, chars, perplexity, low, high, kept.
 
@@ -275,7 +275,7 @@ def classify(
 @tidy
 def keep(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",
-    tail: float = 0.01, spread: float = 2.0, least: int = 100, short: int = 200, folds: int = 5, chunk_bytes: int = 16 << 20,
+    tail: float = 0.01, spread: float = 2.0, least: int = 100, short: int = 200, folds: int = 5, chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The rows of `docs` that `classify` keeps, with all their columns."""
     chunks = lay(docs, key, text, chunk_bytes)
