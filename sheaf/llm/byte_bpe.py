@@ -42,7 +42,7 @@ def _lines(words: list[str]) -> str:
 
 
 class ByteBPE:
-    def __init__(self, spec: bytes, remembered: int = 400_000, checked: int = 16, every: int = 8, added: bool = False):
+    def __init__(self, spec: bytes, remembered: int = 150_000, checked: int = 16, every: int = 8, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
