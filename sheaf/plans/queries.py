@@ -288,10 +288,10 @@ def pivot_rows(spark, sf_dir):
 
 @query(
     """SELECT c AS custkey, r AS "row", k AS col, CASE WHEN r = 0 AND k = 0 THEN NULL WHEN k = 0 THEN CASE WHEN r = h - 1 THEN '⤓' ELSE '↓' END WHEN k = w - 1 THEN '⇥' ELSE '→' END AS mark
-        FROM (SELECT o_custkey AS c, least(count(*), 5) AS h, 1 + o_custkey % 3 AS w FROM orders GROUP BY o_custkey) AS o, LATERAL (SELECT unnest(range(0, h)) AS r) AS a, LATERAL (SELECT unnest(range(0, w)) AS k) AS b"""
+        FROM (SELECT o_custkey AS c, count(*) AS h, 1 + o_custkey % 3 AS w FROM orders GROUP BY o_custkey) AS o, LATERAL (SELECT unnest(range(0, h)) AS r) AS a, LATERAL (SELECT unnest(range(0, w)) AS k) AS b"""
 )
 def merge_marks(spark, sf_dir):
-    areas = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.least(F.count(F.lit(1)), F.lit(5)) - 1).alias("row1")).select(
+    areas = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) - 1).alias("row1")).select(
         F.col("o_custkey").alias("custkey"), F.lit(0).cast("long").alias("row0"), "row1", F.lit(0).cast("long").alias("col0"), (F.col("o_custkey") % 3).alias("col1")
     )
     return R.covered(areas).select("custkey", "row", "col", "mark")
@@ -299,10 +299,10 @@ def merge_marks(spark, sf_dir):
 
 @query(
     """SELECT c AS custkey, r AS "row", 'customer ' || CAST(c AS VARCHAR) AS v_string
-        FROM (SELECT o_custkey AS c, least(count(*), 5) AS h FROM orders GROUP BY o_custkey) AS o, LATERAL (SELECT unnest(range(0, h)) AS r) AS a"""
+        FROM (SELECT o_custkey AS c, count(*) AS h FROM orders GROUP BY o_custkey) AS o, LATERAL (SELECT unnest(range(0, h)) AS r) AS a"""
 )
 def merge_filled(spark, sf_dir):
-    areas = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.least(F.count(F.lit(1)), F.lit(5)) - 1).alias("row1")).select(
+    areas = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) - 1).alias("row1")).select(
         F.col("o_custkey").cast("string").alias("file"), F.lit("orders").alias("sheet"), F.lit(0).alias("sheet_idx"), F.col("o_custkey").alias("custkey"),
         F.lit(0).cast("long").alias("row0"), "row1", F.lit(0).alias("col0"), F.lit(0).alias("col1"),
     )
