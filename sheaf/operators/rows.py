@@ -34,9 +34,9 @@ def value_of(r) -> object:
 def rendered(cells: DataFrame) -> DataFrame:
     """Cells with `text`: each value in its format. Blank cells are empty, static ones stand for themselves, unknown formats are General.
 
-    Texts, booleans without a format and whole numbers stay in Spark's own
-    functions; the rest goes through one Arrow-batched function, which compiles
-    each format code once.
+    Texts, booleans without a format and whole numbers are shown by Spark's own
+    functions, and go to Python as a null only; the rest is shown by one Arrow-batched
+    function, which compiles each format code once.
     """
     ship(cells.sparkSession)
 
@@ -51,7 +51,8 @@ def rendered(cells: DataFrame) -> DataFrame:
                 f = compiled.get(r["fmt_code"]) or compiled.setdefault(r["fmt_code"], compile_format(r["fmt_code"]))
             return render(f or GENERAL, value_of(r))
 
-        return pd.Series([one(r) for r in c.to_dict("records")], dtype=object)
+        rest = c[c["needed"].notna()]
+        return pd.Series([one(r) for r in rest.to_dict("records")], index=rest.index, dtype=object).reindex(c.index, fill_value=None)
 
     plain = F.coalesce("fmt_id", F.lit(0)).isin(0, 49)
     native = (
@@ -61,8 +62,11 @@ def rendered(cells: DataFrame) -> DataFrame:
         .when(plain & (F.col("kind") == S.INTEGER), F.col("v_long").cast("string"))
         .when(plain & (F.col("kind") == S.BOOLEAN), F.when(F.col("v_bool"), "TRUE").otherwise("FALSE"))
     )
-    needs = F.struct("kind", "v_bool", "v_long", "v_double", "v_string", "v_ts", F.coalesce("fmt_id", F.lit(0)).alias("fmt_id"), "fmt_code")
-    return cells.withColumn("__native", native).withColumn("text", F.coalesce("__native", exact(needs))).drop("__native")
+    # Whole numbers go as digits: pandas would make them floats beside nulls.
+    needs = F.struct(
+        F.lit(True).alias("needed"), "kind", "v_bool", F.col("v_long").cast("string").alias("v_long"), "v_double", "v_string", "v_ts", F.coalesce("fmt_id", F.lit(0)).alias("fmt_id"), "fmt_code"
+    )
+    return cells.withColumn("__native", native).withColumn("text", F.coalesce("__native", exact(F.when(F.col("__native").isNull(), needs)))).drop("__native")
 
 
 def format_code(fmt_id: Column) -> Column:

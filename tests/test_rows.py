@@ -57,6 +57,18 @@ def test_last_write_wins(spark):
     assert R.to_rows(df).first().strings == ["last"]
 
 
+def test_only_formatted_cells_are_shown_by_the_slow_function(spark):
+    big = 2**53 + 1
+
+    def cell(col, kind, fmt, code=None, **slots):
+        own = {"v_bool": None, "v_long": None, "v_double": None, "v_string": None, "v_ts": None} | slots
+        return ("f", "s", 0, 0, col, col, kind, *own.values(), fmt, code, None)
+
+    cells = [cell(0, "integer", 1, v_long=big), cell(1, "integer", 0, v_long=big), cell(2, "string", 0, v_string="t"), cell(3, "blank", 2), cell(4, "float", 9, v_double=0.5), cell(5, "string", None, "0.0", v_string="u")]
+    df = R.rendered(spark.createDataFrame(cells, S.CELLS).repartition(1))
+    assert [r.text for r in df.orderBy("col").collect()] == [str(big), str(big), "t", "", "50%", "u"]
+
+
 def test_typed_reads(spark, folder):
     cells = reader.read_cells(spark, f"{folder}/c.xls", sheet="s2")
     assert R.scan(cells, [("a", "string"), ("b", "long")]).select("a", "b").collect() == [("only", None)]
