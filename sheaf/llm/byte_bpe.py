@@ -69,10 +69,6 @@ class ByteBPE:
         self.words = WordIds(self._spaced, self._plain, np.array([self.feed], dtype="<u4").tobytes(), False, remembered)
         self.to_check, self.every = checked, every
 
-    def forget(self) -> None:
-        """Let go of all remembered words: workers outlive their tasks."""
-        self.words.clear()
-
     def _check(self, texts: list[str], ids: list[bytes], join) -> None:
         """One in `every` of newly met texts, by their hash, against the library."""
         some = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.every == 0]
@@ -126,6 +122,7 @@ class ByteBPE:
         return out
 
 
+#: Engines of this worker. A task lets go of them at its end: workers outlive their tasks, and stand beside the executor's heap.
 _LOADED: dict[tuple[str, bool, int], ByteBPE] = {}
 
 
@@ -135,3 +132,9 @@ def load(spec: bytes, added: bool = False, every: int = 8) -> ByteBPE:
         _LOADED.clear()
         _LOADED[name] = ByteBPE(spec, added=added, every=every)
     return _LOADED[name]
+
+
+def unload() -> None:
+    for engine in _LOADED.values():
+        engine.words = None  # it refers to the engine, which would wait for the collector
+    _LOADED.clear()

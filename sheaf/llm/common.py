@@ -174,7 +174,9 @@ def _libc():
 
 
 def settle() -> None:
-    """Give freed memory back to the system: workers outlive their tasks, and stand beside the executor's heap."""
+    """Give freed memory back to the system: workers outlive their tasks, and stand beside the executor's heap. Long tables of powers go, too."""
+    if len(_POWERS[0]) > 1 << 20:
+        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.set_memory_pool(pa.system_memory_pool())
     if libc := _libc():
         libc.malloc_trim(0)

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, spec_path: str, text: str = "text", key: str = "doc_
         try:
             yield from cut_up(bpe, batches)
         finally:
-            bpe.forget()
+            byte_bpe.unload()
 
     def cut_up(bpe, batches):
         for b in slices(batches, "__text", 2 << 20):

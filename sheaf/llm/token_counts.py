@@ -43,7 +43,7 @@ def write_flat(docs: DataFrame, spec_path: str, end_id: int, width: int = 2, tex
         try:
             yield from write(bpe, batches)
         finally:
-            bpe.forget()
+            byte_bpe.unload()
 
     def write(bpe, batches):
         task = TaskContext.get()
