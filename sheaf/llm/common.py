@@ -182,6 +182,12 @@ def settle() -> None:
         libc.malloc_trim(0)
 
 
+def empty_heaps(spark: SparkSession) -> None:
+    """Collect garbage in the JVM of every executor, one task a core: a heap that an earlier job filled goes back to the system, and so do buffers and classes that only garbage held."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def lean(function: Callable) -> Callable:
     """A function of batches that settles before and behind its task."""
 

@@ -29,7 +29,8 @@ from sheaf.llm.common import cut, fold, key_name, pulled, slices, tidy, utf8
 
 ORDER = 4
 SYMBOLS = 0x110000 + 1  # code points and the end mark
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes of text that are numbered at a time: the arrays for it are some 100 times as large, and stand beside the executor's heap
+HELD = 1 << 17  # n-grams of slices that wait to be summed, beside as many as are distinct so far
 DENSE = 1 << 25  # codes below this are numbered by a map of bits, others by sorting
 
 
@@ -126,6 +127,12 @@ def _unnamed(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(column.cast(pa.binary(4 * ORDER)).combine_chunks().buffers()[1], f"S{4 * ORDER}")[: len(column)] if len(column) else np.zeros(0, f"S{4 * ORDER}")
 
 
+def _sum_up(grams: list[np.ndarray], counts: list[np.ndarray]) -> None:
+    """Distinct n-grams and their total counts, in place of all lists of them."""
+    u, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    grams[:], counts[:] = [u], [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u))]
+
+
 def _questions(chunks: Chunks, flags: DataFrame, text: str) -> DataFrame:
     """chunk, gram, n: the distinct n-grams of each chunk, and how often its flagged rows hold them."""
 
@@ -140,9 +147,10 @@ def _questions(chunks: Chunks, flags: DataFrame, text: str) -> DataFrame:
                 g, number = numbered(s, place)
                 grams.append(g)
                 counts.append(np.bincount(number, weights=own[row], minlength=len(g)))
-        u, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u))
-        return pa.table({"chunk": pa.array(np.full(len(u), name)), "gram": _names(u), "n": pa.array(total.astype(np.int64))})
+                if sum(map(len, grams[1:])) > HELD + len(grams[0]):
+                    _sum_up(grams, counts)
+        _sum_up(grams, counts)
+        return pa.table({"chunk": pa.array(np.full(len(grams[0]), name)), "gram": _names(grams[0]), "n": pa.array(counts[0].astype(np.int64))})
 
     return chunks.gather(flags.select("chunk", "place"), ask, "chunk long, gram binary, n long")
 

@@ -60,3 +60,15 @@ def test_odd_tables(spark, odd, empty, tmp_path):
             if name == "empty":
                 assert not has
         assert sorted(map(str, P.run(spark, folder).drop("sequence_id", "offset").collect())) == sorted(map(str, now.drop("sequence_id", "offset").collect()))
+
+
+def test_heaps_are_emptied_before_a_stage(spark, sf, docs):
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Scavenge" not in b.getName() and b.getName() != "Copy")
+
+    seen = []
+    stage = P._stage(lambda spark, docs, sf_dir: seen.append(collections()) or docs)
+    before = collections()
+    assert stage(spark, docs, sf).columns == docs.columns
+    assert seen[0] > before

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from statistics import NormalDist
@@ -153,3 +154,43 @@ def test_texts_of_other_scripts_are_told_apart(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in Q.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, least=3).collect()}
     assert got[100].perplexity * 100 < got[101].perplexity and not got[101].kept
+
+
+def test_memory_beside_the_heap_is_a_few_times_a_chunk():
+    """A chunk of 8 MB, as a worker's two functions get it: their arrays stay under 6 times its size, and what they find is right."""
+    rng = np.random.default_rng(0)
+    words = ["".join(x) for x in rng.choice(list("etaoinshrdluéü"), (5000, 6))]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 450)) for _ in range(24)] * 100
+    rows = pa.RecordBatch.from_pydict({"text": texts})
+    size = sum(len(t.encode()) for t in texts)
+    assert 7 << 20 < size < 9 << 20
+
+    class Chunks:
+        fields = {}
+
+        def gather(self, more, function, schema):
+            return function
+
+    class Nothing:
+        def select(self, *columns):
+            return self
+
+    def peak(function, *args):
+        tracemalloc.start()
+        try:
+            return function(*args), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    flags = pa.table({"chunk": pa.array([0] * 2, pa.int64()), "place": pa.array([0, 2399], pa.int32())})
+    asked, most = peak(Q._questions(Chunks(), Nothing(), "text"), 0, rows, flags)
+    assert most < 6 * size
+    count = Counter(np.array(g, ">u4").tobytes() for i in (0, 2399) for g in windows(texts[i]))
+    grams = asked.column("gram").to_pylist()
+    assert len(set(grams)) == len(grams) and {g: n for g, n in zip(grams, asked.column("n").to_pylist()) if n} == count
+    assert set(grams) == {np.array(g, ">u4").tobytes() for g in set().union(*(windows(t) for t in texts[:24]))}
+
+    answers = pa.table({"chunk": asked.column("chunk"), "gram": asked.column("gram"), "lp": pa.array(np.full(len(grams), -2.0))})
+    scored, most = peak(Q._scores(Chunks(), Nothing(), "text", {}), 0, rows, answers)
+    assert most < 6 * size
+    assert scored.column("chars").to_pylist() == [len(t) for t in texts] and set(scored.column("nll").to_pylist()) == {2.0}
