@@ -3,9 +3,11 @@
 The file's vocabulary is also its merge order, so the ids come from tiktoken's
 engine over the same vocabulary and pattern. Where every white-space character
 of a text is one space or one line feed between other characters, no token spans
-two words, and ids of words met before are looked up. Other texts are encoded
-whole. Both ways give the ids of the `tokenizers` library; each worker compares
-them with it on its first texts and raises an error on a difference.
+two words. The words of a batch, each behind its space or line feed, are numbered
+in Arrow; new ones are encoded side by side, and all ids are gathered by number,
+without a Python object a word. Other texts are encoded whole. Both ways give the
+ids of the `tokenizers` library; each worker compares them with it on its first
+texts and raises an error on a difference.
 
 The file's added tokens are plain text unless `added` is set. With it they are
 matched in texts, as the library does by default: a text is split at them, and
@@ -20,11 +22,15 @@ import re
 import zlib
 
 import numpy as np
-
-from sheaf.llm.word_ids import WordIds, cut_at
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space other than one space or line feed between other characters.
+LOOSE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLOCK = 1 << 18  # words whose ids are gathered at a time
+
 
 def _printable() -> dict[str, int]:
     """Byte-level BPE writes bytes as printable characters: those that are one stand for themselves, the others from U+0100 on."""
@@ -33,14 +39,6 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _behind_spaces(words: list[str]) -> str:
-    return " " + " ".join(words)
-
-
-def _lines(words: list[str]) -> str:
-    return "\n".join(words) + "\n"
-
-
 class ByteBPE:
     def __init__(self, spec: bytes, remembered: int = 150_000, checked: int = 16, every: int = 8, added: bool = False):
         import tiktoken
@@ -65,32 +63,55 @@ class ByteBPE:
         self.size = max(parsed["model"]["vocab"].values()) + 1
         self.feed = self.engine.encode_single_token("\n")
         self.opens = np.zeros(self.size, dtype=bool)
-        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.words = WordIds(self._spaced, self._plain, np.array([self.feed], dtype="<u4").tobytes(), False, remembered)
+        self.opens[[self.feed, *(i for t, i in ranks.items() if t[:1] == b" ")]] = True
+        self.remembered = remembered
+        self._forget()
         self.to_check, self.every = checked, every
 
-    def _check(self, texts: list[str], ids: list[bytes], join) -> None:
-        """One in `every` of newly met texts, by their hash, against the library."""
-        some = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.every == 0]
-        if some:
-            want = self.peer.encode(join([texts[i] for i in some]), add_special_tokens=False).ids
-            if np.array(want, dtype="<u4").tobytes() != b"".join(ids[i] + (self.words.feed if join is _lines else b"") for i in some):
-                raise AssertionError(f"one of {len(some)} texts differs from the tokenizers library")
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Each word's ids behind a space: encoded as one text and cut where a token opens with a space."""
-        ids = np.array(self.engine.encode_ordinary(_behind_spaces(words)), dtype=np.uint32)
-        out = cut_at(ids, np.flatnonzero(self.opens[ids]))
-        self._check(words, out, _behind_spaces)
-        return out
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Each word's ids at the beginning of a line: encoded as lines and cut behind the line feeds."""
-        ids = np.array(self.engine.encode_ordinary(_lines(words)), dtype=np.uint32)
-        ends = np.flatnonzero(ids == self.feed)
-        out = [x[:-4] for x in cut_at(ids, np.concatenate([[0], ends[:-1] + 1]))]
-        self._check(words, out, _lines)
-        return out
+    def _forget(self) -> None:
+        """No words: `known` are those met, `ids` theirs one behind the other, `ends` where they end."""
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _check(self, texts: list[str], ids: np.ndarray) -> None:
+        """The texts, one behind the other, against the library."""
+        want = self.peer.encode("".join(texts), add_special_tokens=False).ids
+        if not np.array_equal(np.array(want, dtype="<u4"), ids):
+            raise AssertionError(f"one of {len(texts)} texts differs from the tokenizers library")
+
+    def _learn(self, words: pa.Array) -> None:
+        """Encode new words as one text, and cut where a token opens with a space or is the line feed. One in `every`, by their hash, goes to the library."""
+        raw, at = _bytes(words)
+        ids = np.array(self.engine.encode_ordinary(raw.decode()), dtype="<u4")
+        ends = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+        if len(ends) != len(at) or ends[0]:
+            raise AssertionError(f"{len(words)} words are encoded as {len(ends) - 1}")
+        chosen = np.fromiter((zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:])), np.uint32, len(words)) % self.every == 0
+        if chosen.any():
+            self._check([raw[at[i] : at[i + 1]].decode() for i in np.flatnonzero(chosen)], ids[np.repeat(chosen, np.diff(ends))])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[1:]])
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that are not empty, and not loose. A line feed before each makes every word stand behind one or a space."""
+        if len(self.known) > self.remembered:
+            self._forget()
+        raw = np.frombuffer("".join(f"\n{t}" for t in texts.to_pylist()).encode(), dtype=np.uint8)
+        off = np.append(np.flatnonzero((raw == ord(" ")) | (raw == ord("\n"))), len(raw))
+        words = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(raw))
+        numbered = pa.chunked_array([self.known, words]).dictionary_encode().chunks[-1]
+        new = numbered.dictionary.slice(len(self.known))
+        for i in range(0, len(new), BLOCK):
+            self._learn(new.slice(i, BLOCK))
+        self.known = numbered.dictionary
+        number, size = numbered.indices.to_numpy(), np.diff(self.ends)
+        ends = np.append(0, np.cumsum(size[number]))
+        out = np.empty(ends[-1], dtype="<u4")
+        for i in range(0, len(number), BLOCK):
+            some, at = number[i : i + BLOCK], ends[i : i + BLOCK + 1]
+            out[at[0] : at[-1]] = self.ids[np.repeat(self.ends[some] - at[:-1], size[some]) + np.arange(at[0], at[-1])]
+        begins = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1))
+        cuts = ends[np.searchsorted(off, begins)].tolist()
+        return [out[i + 1 : j] for i, j in zip(cuts, cuts[1:])]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; an empty text has none."""
@@ -113,15 +134,24 @@ class ByteBPE:
         return [np.concatenate([self.added[x] if i % 2 else next(known) for i, x in enumerate(p)]) for p in parts]
 
     def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(t) and " ".join(t.split()) == t.replace("\n", " ") for t in texts]
-        known = iter(self.words.encode([[x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, plain) if ok]))
-        out = [np.frombuffer(next(known), dtype="<u4") if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4") for t, ok in zip(texts, plain)]
-        for t, ids, ok in zip(texts, out, plain):
-            if t and not ok:
-                self._check([t], [ids.tobytes()], "".join)
+        column = pa.array(texts, pa.large_string())
+        plain = pc.and_(pc.greater(pc.binary_length(column), 0), pc.invert(pc.match_substring_regex(column, LOOSE)))
+        known = iter(self._by_words(column.filter(plain)) if pc.any(plain).as_py() else ())
+        out = []
+        for t, ok in zip(texts, plain.to_pylist()):
+            out.append(next(known) if ok else np.array(self.engine.encode_ordinary(t), dtype="<u4"))
+            if t and not ok and zlib.crc32(t.encode()) % self.every == 0:
+                self._check([t], out[-1])
         return out
 
 
+def _bytes(column: pa.Array) -> tuple[bytes, list[int]]:
+    """Bytes and offsets of a large string column without nulls."""
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return data[off[0] : off[-1]].to_pybytes(), (off - off[0]).tolist()
+
+
 #: Engines of this worker. A task lets go of them at its end: workers outlive their tasks, and stand beside the executor's heap.
 _LOADED: dict[tuple[str, bool, int], ByteBPE] = {}
 
@@ -135,6 +165,4 @@ def load(spec: bytes, added: bool = False, every: int = 8) -> ByteBPE:
 
 
 def unload() -> None:
-    for engine in _LOADED.values():
-        engine.words = None  # it refers to the engine, which would wait for the collector
     _LOADED.clear()
