@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import exact_dedup, jaccard_join, language_id, packing, quality_lm
 from sheaf.deploy import delete
-from sheaf.llm.common import cut, discard, empty_heaps, own_tables, tidy
+from sheaf.llm.common import cut, discard, empty_heaps, own_tables, sparing, tidy
 from sheaf.llm.queries import table, tokenizer_path
 
 
@@ -26,6 +26,7 @@ def _stage(function):
     """A stage's result is written before the next stage is called: tables that earlier results read go then, but for those that its own input reads.
 
     So does what the executors' heaps grew by: a stage's Python workers find the room that they would have in a job of their own.
+    The driver, which sees hundreds of jobs, gives memory back when a stage begins and between a stage's tables.
     """
 
     @wraps(function)
@@ -35,7 +36,8 @@ def _stage(function):
             delete(spark, path)
         _LEFT.intersection_update(reads)
         empty_heaps(spark)
-        out = function(spark, docs, sf_dir)
+        with sparing(spark):
+            out = function(spark, docs, sf_dir)
         _LEFT.update(own_tables(out) - reads)
         return out
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -17,6 +18,7 @@ from functools import lru_cache, wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,7 @@ def cut(df: DataFrame, what: str = "cut", group_bytes: int | None = None) -> Dat
     schema = df.schema
     with _set_for_writing(spark):
         _writer(df, group_bytes).parquet(path)
+    _between_tables(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -78,6 +81,7 @@ def cut_buckets(df: DataFrame, by: str, buckets: int, what: str = "buckets", gro
     table = spark.table(name)
     table.schema  # resolved while the entry is there
     spark.sql(f"DROP TABLE {name}")
+    _between_tables(spark)
     return table
 
 
@@ -188,6 +192,55 @@ def empty_heaps(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
+#: Seconds between two times that a driver in `sparing` gives memory back.
+EVERY = 15.0
+
+
+@contextmanager
+def sparing(spark: SparkSession):
+    """For long runs of many jobs: the driver gives memory back now, and after tables written meanwhile, every EVERY seconds at most."""
+    before = getattr(_SCOPES, "emptied", None)
+    empty_driver(spark)
+    _SCOPES.emptied = time.monotonic()
+    try:
+        yield
+    finally:
+        _SCOPES.emptied = before
+
+
+def _between_tables(spark: SparkSession) -> None:
+    at = getattr(_SCOPES, "emptied", None)
+    if at is not None and time.monotonic() - at >= EVERY:
+        empty_driver(spark)
+        _SCOPES.emptied = time.monotonic()
+
+
+def empty_driver(spark: SparkSession) -> None:
+    """Collect garbage in the driver's JVM, and give what its heap and its compilers have freed back to the system; in its Python, too.
+
+    Its heap grows with garbage of plans and of tasks' ends, and glibc keeps what compilers and codecs freed, some 150 MB after a hundred jobs.
+    """
+    spark._jvm.System.gc()
+    try:
+        _trim_jvm(spark)
+    except Py4JError:  # a JVM without that command
+        pass
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """`jcmd System.trim_native_heap`, by way of the JVM's own beans. Their class is not open, so the method is that of the interface."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(kinds):
+        types[i] = jvm.java.lang.Class.forName(kind)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def lean(function: Callable) -> Callable:
     """A function of batches that settles before and behind its task."""
 

@@ -1,7 +1,11 @@
+import re
+from pathlib import Path
+
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from sheaf.llm import common
 from sheaf.llm import jaccard_join as J
 from sheaf.llm.common import cut
 from sheaf.llm.queries import tokenizer_path
@@ -72,3 +76,29 @@ def test_heaps_are_emptied_before_a_stage(spark, sf, docs):
     before = collections()
     assert stage(spark, docs, sf).columns == docs.columns
     assert seen[0] > before
+
+
+def test_a_stage_lets_the_driver_give_memory_back(spark, sf, docs, monkeypatch):
+    """Between the tables of a stage, what its JVM has freed goes to the system."""
+    monkeypatch.setattr(common, "EVERY", 0.0)
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    native = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+    seen = {}
+
+    def stage(spark, docs, sf_dir):
+        out = cut(docs.limit(3), "one")
+        held, block = [jvm.java.util.zip.Deflater() for _ in range(300)], spark.sparkContext._gateway.new_array(jvm.byte, 1 << 16)
+        for x in held:
+            x.setInput(block)
+            x.deflate(block)
+        for x in held[:-1]:
+            x.end()  # the last one's memory lies above theirs, so that glibc keeps it
+        seen["full"] = native()
+        out = cut(out, "two")
+        seen["left"] = native()
+        held[-1].end()
+        return out
+
+    assert P._stage(stage)(spark, docs, sf).count() == 3
+    assert seen["full"] - seen["left"] > 30
