@@ -20,13 +20,22 @@ SPACES = r"\s\x0B\u0085   -     　"
 
 
 def whole(x: Column) -> Column:
-    """Toward zero, as a long."""
-    return F.coalesce(x.try_cast("long"), F.lit(-(2**63)))
+    """Toward zero, as a long; what does not fit is the smallest long, null stays null."""
+    return F.when(x.isNotNull(), F.coalesce(x.try_cast("long"), F.lit(-(2**63))))
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Exact binary value rounded half to even, as printf does in Go and C; format_string rounds half up."""
-    return F.call_function("format_number", x, F.lit("0" + ("." + "0" * places if places else "")))
+    """Exact binary value rounded half to even, as printf does in Go and C; format_string rounds half up.
+
+    format_number rounds the shortest digits, which end before the last place where doubles lie further apart than
+    that; there the whole part is split off. Exact below 2^63 for 15 places at most.
+    """
+    show = lambda c: F.call_function("format_number", c, F.lit("0" + ("." + "0" * places if places else "")))
+    size = F.abs(x.cast("double"))
+    part = show(F.abs(x - whole(x)))
+    carry = F.when(part.startswith("1"), F.signum(x).try_cast("long")).otherwise(F.lit(0))
+    split = F.concat((whole(x) + carry).cast("string"), F.substring(part, 2, 1 << 30))
+    return F.when((size >= max(2.0**52 / 10**places, 1.0)) & (size < 2.0**63), split).otherwise(show(x))
 
 
 def scientific(x: Column, places: int) -> Column:

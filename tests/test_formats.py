@@ -163,6 +163,17 @@ def test_columns_render_as_values_do(spark):
             assert r[f"c{k}"] == render(compile_format(c), r.x), (c, r.x)
 
 
+def test_columns_fix_digits_of_large_numbers_as_values_do(spark):
+    rng = random.Random(3)
+    numbers = [s * rng.uniform(1, 2) * 2.0**e for e in range(-4, 62) for s in (1, -1) for _ in range(5)] + [2.0**45 + 1 - 2.0**-7, -(2.0**45) - 1 + 2.0**-7, math.inf, math.nan]
+    df = spark.createDataFrame([(x,) for x in numbers] + [(None,)], "x double")
+    for r in df.select("x", C.whole(F.col("x")).alias("w"), *[C.fixed(F.col("x"), p).alias(f"f{p}") for p in (0, 2, 6, 15)]).collect():
+        if r.x is None:
+            assert set(r[1:]) == {None}
+        elif math.isfinite(r.x):
+            assert r.w == V.truncated(r.x) and [r[f"f{p}"] for p in (0, 2, 6, 15)] == [f"{r.x:.{p}f}" for p in (0, 2, 6, 15)], r.x
+
+
 def test_columns_render_times_as_values_do(spark):
     rng = random.Random(2)
     serials = [0.0, 0.999999, 59.5, 60.25, 61.0, 61.00001] + [rng.uniform(0, 80000) for _ in range(200)]
